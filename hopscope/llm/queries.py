@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, url_filters
+from . import fm_index, mixing, quality_rules, simhash, url_filters
 from .common import word_count
 
 #: The fixed rules of op10.
@@ -32,10 +32,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measured, cutoffs).select(*columns)
 
 
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fm_index.contamination(docs, _table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_fm_index, op7_simhash, op10_url_filters)}
