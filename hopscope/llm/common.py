@@ -27,15 +27,16 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, how: str = "left") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], count: str, rows: int, how: str = "left") -> DataFrame:
     """Join ``right``, one row per key, where ``count`` is the number of left rows of the key.
 
     Keys that hold over a thousandth of the ``rows`` left rows are broadcast: there are under a
     thousand of them by construction. All others are joined by a shuffle without skew.
     """
+    keys = [key] if isinstance(key, str) else key
     limit = max(1000, rows // 1000)
     heavy = F.broadcast(right.filter(F.col(count) > limit))
     light = right.filter(F.col(count) <= limit)
     hot = left.join(heavy, key, "inner")
-    cold = left.join(F.broadcast(right.filter(F.col(count) > limit).select(key)), key, "left_anti").join(light, key, how)
+    cold = left.join(F.broadcast(right.filter(F.col(count) > limit).select(*keys)), key, "left_anti").join(light, key, how)
     return hot.select(*cold.columns).unionByName(cold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, mixing, quality_rules, simhash, url_filters
+from . import fm_index, mixing, quality_rules, simhash, suffix_dedup, url_filters
 from .common import word_count
 
 #: The fixed rules of op10.
@@ -42,10 +42,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_fm_index, op7_simhash, op10_url_filters)}
+    return {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_fm_index, op7_simhash, op9_suffix_dedup, op10_url_filters)}

@@ -70,7 +70,8 @@ def template_tree(counts: DataFrame, depth: int, min_rows: int, z: float) -> Dat
         named = both.select("host", F.col(up).alias("_up"), F.col(seg).alias("_seg"), F.concat(F.col(up), step).alias(f"t{k}"))
         named = named.withColumnRenamed("host", "_host")
         same = (F.col("host") == F.col("_host")) & (F.col(up) == F.col("_up")) & F.col(seg).eqNullSafe(F.col("_seg"))
-        rows = rows.join(named, same).select(*rows.columns, f"t{k}")
+        # Each level reads the last one's table several times; without a cut the plan doubles at each.
+        rows = rows.join(named, same).select(*rows.columns, f"t{k}").checkpoint()
     return rows
 
 
@@ -102,7 +103,7 @@ def judge_urls(
     rows = rows.withColumn(f"s{depth + 1}", F.when(F.size("_seg") > depth, F.lit("**"))).drop("_seg")
     keys.append(f"s{depth + 1}")
     given = F.col("_given")
-    counts = rows.groupBy("host", *keys).agg(F.count(F.lit(1)).alias("n"), F.count(given).alias("labelled"), F.count_if(given == "block").alias("bad"))
+    counts = rows.groupBy("host", *keys).agg(F.count(F.lit(1)).alias("n"), F.count(given).alias("labelled"), F.count_if(given == "block").alias("bad")).checkpoint()
     tree = template_tree(counts, depth + 1, min_rows, z).withColumnRenamed(f"t{depth + 1}", "template")
     overall = counts.agg((F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0))).alias("prior"))
     purity = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).crossJoin(F.broadcast(overall))
