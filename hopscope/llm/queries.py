@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, mixing, quality_rules, simhash, suffix_dedup, url_filters
+from . import fm_index, mixing, ppm, quality_rules, simhash, suffix_dedup, url_filters
 from .common import word_count
 
 #: The fixed rules of op10.
@@ -18,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    scored = ppm.score_corpus(docs, ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), F.col("words"))
@@ -52,4 +59,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_fm_index, op7_simhash, op9_suffix_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_ppm, op2_mixing, op5_quality_rules, op6_fm_index, op7_simhash, op9_suffix_dedup, op10_url_filters)}
