@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, mixing, ppm, quality_rules, simhash, suffix_dedup, url_filters
+from . import fm_index, html_text, mixing, ordinal_quality, ppm, quality_rules, simhash, suffix_dedup, url_filters, warc_zip
 from .common import word_count
 
 #: The fixed rules of op10.
@@ -31,6 +31,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc_zip.write_packages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc_zip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 of low quality, 2 neither."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = ordinal_quality.train(docs, labels.select("doc_id", grade.alias("grade")), top=2)
+    return ordinal_quality.score(docs, model).drop("text")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = quality_rules.measure(docs).drop("text").checkpoint()
@@ -49,6 +63,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,4 +77,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm, op2_mixing, op5_quality_rules, op6_fm_index, op7_simhash, op9_suffix_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_ppm, op2_mixing, op3_warc_zip, op4_ordinal_quality, op5_quality_rules, op6_fm_index, op7_simhash, op8_html_text, op9_suffix_dedup, op10_url_filters)}
