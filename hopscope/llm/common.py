@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words, as a regular expression class and its complement.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The filter that spares rows a shuffle has at most so many bits (4 MB), whatever the input.
+FILTER_BITS = 1 << 25
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,3 +47,42 @@ def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], count: str
     hot = left.join(heavy, key, "inner")
     cold = left.join(F.broadcast(right.filter(F.col(count) > limit).select(*keys)), key, "left_anti").join(light, key, how)
     return hot.select(*cold.columns).unionByName(cold)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes in ``column``, at least one row each: what is unpacked at once."""
+    for batch in batches:
+        first, size = 0, 0
+        for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if size and size + (n or 0) > limit:
+                yield batch.slice(first, k - first)
+                first, size = k, 0
+            size += n or 0
+        yield batch.slice(first)
+
+
+def bit_filter(keys: DataFrame, key: str, rows: int) -> tuple[int, np.ndarray]:
+    """A bit for each of the ``rows`` hashes in ``keys``: rows without it can't match. Its size is bounded by FILTER_BITS."""
+    bits = 1 << 16
+    while bits < min(FILTER_BITS, 16 * rows):
+        bits *= 2
+    spot = F.pmod(F.col(key), F.lit(bits))
+    words = keys.select(F.shiftright(spot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = words.toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    return bits, table
+
+
+def with_bit(rows: DataFrame, key: str, bits: tuple[int, np.ndarray], want: bool = True) -> DataFrame:
+    """The rows whose hash (not null) has, or lacks, its bit."""
+    held, at = rows.sparkSession.sparkContext.broadcast(bits), rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, table = held.value
+        for batch in batches:
+            h = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            have = (table[(h & (size - 1)) >> 6] >> (h & 63)) & 1 == 1
+            yield batch.filter(pa.array(have == want))
+
+    return rows.mapInArrow(run, rows.schema)

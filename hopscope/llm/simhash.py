@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import LOWER, UPPER, hot_join
+from ..session import materialise
+from .common import LOWER, UPPER, bit_filter, by_bytes, hot_join, with_bit
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles whose bits are counted at once.
@@ -21,34 +22,42 @@ _BLOCK = 1 << 16
 PAIR_LIST = 64
 
 
+def ascii_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of ``text`` in order, repeats included."""
+    words = ascii_words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) < shingle:
+        return np.array([digest(joined, 42)], np.uint64)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *[e + 1 for e in ends[: len(ends) - shingle]]]
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :])), np.uint64, len(starts))
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of the word shingles of ``text``, 0 for texts without words.
 
     A-Z are lower-cased; words are runs of bytes other than white space; fewer words than ``shingle``
     are one shingle; repeated shingles count each. A bit is 1 if set in over half the XXH64 values.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *[e + 1 for e in ends[: len(ends) - shingle]]]
-    total, counts = len(starts), np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, total, _BLOCK):
-        spans = zip(starts[at : at + _BLOCK], ends[at + shingle - 1 : at + shingle - 1 + _BLOCK])
-        h = np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    hashes = _hashes(text, shingle)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        block = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the signed 64-bit fingerprint of each row of ``docs``, null texts 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -117,3 +126,99 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     roots = named.join(least, "component").select("fp", "component_id", "copies").checkpoint()
     return hot_join(held, roots, "fp", "copies", held.count()).select("doc_id", "fp", "component_id")
+
+
+#: Of the parts of a text's shingles at one level, those whose fingerprints are linked.
+PARTS = 8
+
+
+def part_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of parts of a set of shingle hashes: texts that share most shingles share whole parts.
+
+    At level e a shingle belongs to the part that e bits of its hash name. The levels are those with
+    4 to 8 and with 2 to 4 shingles a part, so that two texts of like size have one at least in common; PARTS
+    parts of each are used, those of under two shingles only in texts of few.
+    """
+    size, out = len(hashes), []
+    level = max(0, int(np.floor(np.log2(max(size, 1) / 8))) + 1)
+    for e in (level, level + 1):
+        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        part = mixed & np.uint64((1 << e) - 1)
+        use = np.flatnonzero(part < PARTS)
+        use = use[np.argsort(part[use], kind="stable")]
+        if not len(use):
+            continue
+        heads = np.flatnonzero(np.diff(part[use].astype(np.int64), prepend=-1))
+        bits = np.unpackbits(hashes[use].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+        sizes = np.diff(heads, append=len(use))
+        fps = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
+        out.append(fps[(sizes > 1) | (size < 4)])
+    return np.unique(np.concatenate(out)) if out else np.zeros(1, np.int64)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents that a chain of similar ones joins to a smaller doc_id.
+
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+    Equal texts are one node. Whole-text fingerprints of such pairs differ in too many bits for the index to
+    guarantee, so each text has a fingerprint for each of several parts of its shingles. Equal and nearly
+    equal ones are linked by the byte-position index; documents that meet there are compared, each
+    with the smallest and the largest id, on whole sets. So a pair is missed if it agrees in no part,
+    under one in twenty at 0.8 and fewer above, and each link is exact. Documents without words are alike. Rows with
+    equal ids are one document; null ids are left out.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 2):
+            fps = pa.array([part_fingerprints(np.unique(_hashes(t.as_py(), shingle))) for t in batch.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps], ["doc_id", "same", "fps"])
+
+    signed = docs.select("doc_id", F.md5("text").alias("same"), "text").mapInArrow(parts, f"doc_id {kind}, same string, fps array<bigint>")
+    signed = materialise(signed, "parts")
+    copies = signed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("fps").alias("fps")).checkpoint()
+    shown = copies.select(F.col("first").alias("doc_id"), F.explode("fps").alias("fp")).checkpoint()
+    near = connected_components(links(shown.select("fp").distinct())).withColumnRenamed("node", "fp")
+    shown = shown.join(near, "fp", "left").select("doc_id", F.coalesce("component", "fp").alias("at"))
+    ends = shown.groupBy("at").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    met = hot_join(shown, ends, "at", "n", shown.count(), "inner")
+    pairs = met.select("doc_id", F.explode(F.array("low", "high")).alias("other")).filter("doc_id != other")
+    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().checkpoint()
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().withColumn("h", F.xxhash64("doc_id")).checkpoint()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1):
+            # 32 bits of each hash, sorted: one pair in thousands of millions agrees by chance.
+            out = [np.unique(_hashes(t.as_py(), shingle) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+
+    wanted = with_bit(docs.withColumn("h", F.xxhash64("doc_id")), "h", bit_filter(asked, "h", asked.count()))
+    wanted = wanted.join(asked.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, shingles binary")
+    wanted = materialise(wanted.dropDuplicates(["doc_id"]), "shingle-sets")
+    both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    linked = both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}")
+    equal = hot_join(signed.select("doc_id", "same"), copies.filter("copies > 1").select("same", "first", "copies"), "same", "copies", signed.count(), "inner")
+    edges = linked.union(equal.select("first", "doc_id"))
+    return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")).filter("doc_id != component_id")
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the documents that ``similar_documents`` joins to a smaller doc_id; rows with null ids stay."""
+    gone = similar_documents(docs, shingle, similarity).select("doc_id", F.xxhash64("doc_id").alias("_h")).checkpoint()
+    bits = bit_filter(gone, "_h", gone.count())
+    rows = docs.withColumn("_h", F.xxhash64("doc_id"))
+    # Only rows that may go are shuffled.
+    rest = with_bit(rows, "_h", bits).join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return with_bit(rows, "_h", bits, False).select(*docs.columns).unionByName(rest)
