@@ -24,7 +24,9 @@ _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 BITS = 18
 #: Labelled rows that the model is fitted on at most, the least by a hash of doc_id: the documented bound.
-FIT_ROWS = 8192
+FIT_ROWS = 16_384
+#: Bytes of the starts of words that are features beside the whole words.
+STARTS = (5, 7)
 #: Word forms whose features a task remembers.
 CACHE = 500_000
 
@@ -38,10 +40,10 @@ def _squeeze(shape: bytes) -> bytes:
 
 
 class Features:
-    """Hashed features of a text: which words it has, bare and lower-cased, and which word shapes make up much of it."""
+    """Hashed features of a text: which words and starts of words it has, bare and lower-cased, and which word shapes make up much of it."""
 
     def __init__(self) -> None:
-        self.held: dict[bytes, tuple[int, int]] = {}
+        self.held: dict[bytes, tuple[tuple[int, ...], int]] = {}
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -54,8 +56,9 @@ class Features:
                     held.clear()
                 bare = w.translate(_LOWER).strip(_MARKS)
                 shape = _squeeze(w.translate(_SHAPE))
-                pair = held[w] = (xxhash.xxh32_intdigest(bare, 1) >> 32 - BITS, xxhash.xxh32_intdigest(shape, 2))
-            found.add(pair[0])
+                starts = [xxhash.xxh32_intdigest(bare[:k], k) >> 32 - BITS for k in STARTS if len(bare) > k]
+                pair = held[w] = ((xxhash.xxh32_intdigest(bare, 1) >> 32 - BITS, *starts), xxhash.xxh32_intdigest(shape, 2))
+            found.update(pair[0])
             shapes[pair[1]] = shapes.get(pair[1], 0) + 1
         for shape, n in shapes.items():
             # The share of the words that have the shape, in powers of two.
@@ -76,7 +79,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 150, rate: float = 0.05, ridge: float = 2e-3, min_rows: int = 3) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 150, rate: float = 0.05, ridge: float = 1e-3, min_rows: int = 3) -> Model:
     """Maximum likelihood with a ridge, by Adam on all rows; features in under ``min_rows`` rows have no weight.
 
     Thresholds start at the shares of the grades and are kept in order by positive gaps.
