@@ -14,17 +14,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, by_bytes
 
 #: Bytes of words: digits, lower-case letters and all of 0x80 and above; A-Z are lowered, the rest separates.
 _WORDS = bytes(
     ord(chr(b).lower()) if chr(b) in UPPER else b if chr(b) in LOWER or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)
 )
-#: Words of text that one index covers; a longer document is a shard of its own.
-SHARD_WORDS = 2_000_000
+#: Bytes of text that one index covers; a longer document is a shard of its own.
+SHARD_BYTES = 12 << 20
 #: Words of test phrases that are sent to the executors as one block.
 BLOCK_WORDS = 2_000_000
 #: Every so many positions of the text one is kept in the suffix sample.
@@ -247,18 +246,6 @@ def clean(text: str, blocks: list[Phrases]) -> str:
     return text
 
 
-def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about SHARD_WORDS words, by bytes; always at least one row."""
-    for batch in batches:
-        size, first = 0, 0
-        for k, n in enumerate(x.as_py() or 0 for x in pa.compute.binary_length(batch.column(text))):
-            if size and size + n > 6 * SHARD_WORDS:
-                yield batch.slice(first, k - first)
-                size, first = 0, k
-            size += n
-        yield batch.slice(first)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256) for every row of ``docs`` (doc_id, text).
 
@@ -270,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     blocks = phrase_blocks(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, 1):
+        for shard in by_bytes(batches, 1, SHARD_BYTES):
             found = search_shard(shard.column(1).to_pylist(), [b.value for b in blocks])
             columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([int(h.sum()) for _, h, _ in found], pa.int64())]
             columns += [pa.array([len(i) for _, _, i in found], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in found])]
@@ -286,7 +273,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, at):
+        for shard in by_bytes(batches, at, SHARD_BYTES):
             texts, all_blocks = shard.column(at).to_pylist(), [b.value for b in blocks]
             found = search_shard(texts, all_blocks)
             new = [clean(t, all_blocks) if h.any() else t for t, (_, h, _) in zip(texts, found)]

@@ -24,6 +24,8 @@ import pyarrow.fs as pafs
 
 #: Bytes of queued tuples a queue holds in memory.
 QUEUE_BYTES = 128 << 20
+#: Queued tuples that are taken at once.
+TAKE = 1 << 20
 #: Symbols are 0 (separator) and 1 + byte.
 SYMBOLS = 257
 #: 10-bit codes packed into one key.
@@ -66,20 +68,29 @@ class RunQueue:
             self.held -= at.nbytes + shared.nbytes
             self.spills += 1
 
+    def _load(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        fs, _ = pafs.FileSystem.from_uri(self.folder)
+        with fs.open_input_file(name) as f:
+            raw = f.read()
+        fs.delete_file(name)
+        n = int.from_bytes(raw[:8], "little")
+        return np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i2", n, 8 + 8 * n)
+
     def take(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The symbol's runs in order; runs put meanwhile are given as well."""
+        """The symbol's tuples in order, many runs at once; runs put meanwhile are given as well."""
         while self.runs[symbol]:
-            run = self.runs[symbol].pop(0)
-            if isinstance(run, str):
-                fs, _ = pafs.FileSystem.from_uri(self.folder)
-                with fs.open_input_file(run) as f:
-                    raw = f.read()
-                fs.delete_file(run)
-                n = int.from_bytes(raw[:8], "little")
-                run = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i2", n, 8 + 8 * n)
-            else:
-                self.held -= run[0].nbytes + run[1].nbytes
-            yield run
+            runs, self.runs[symbol] = self.runs[symbol], []
+            parts, size = [], 0
+            while runs and size < TAKE:
+                run = runs.pop(0)
+                if isinstance(run, str):
+                    run = self._load(run)
+                else:
+                    self.held -= run[0].nbytes + run[1].nbytes
+                parts.append(run)
+                size += len(run[0])
+            self.runs[symbol] = runs
+            yield np.concatenate([a for a, _ in parts]), np.concatenate([s for _, s in parts])
 
 
 def _fill_back(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -126,7 +137,8 @@ def _refine(order: np.ndarray, rank: np.ndarray, slots: np.ndarray, keys: np.nda
     """Sort the tied entries at ``slots`` of ``order`` by their group and ``keys``; update rank and head."""
     tied = order[slots]
     group = rank[tied]
-    by = np.lexsort((keys, group))
+    # Alone, one group's keys sort much faster than pairs do.
+    by = np.argsort(keys) if group[0] == group[-1] and (group == group[0]).all() else np.lexsort((keys, group))
     tied, group, keys = tied[by], group[by], keys[by]
     order[slots] = tied
     new = np.concatenate([[True], (group[1:] != group[:-1]) | (keys[1:] != keys[:-1])])
@@ -142,7 +154,7 @@ def _sort_lms(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray
     """Indices of the LMS suffixes in order."""
     m = len(lms)
     ends = np.append(lms[1:], len(text) - 1)
-    code = np.append(text.astype(np.int64) * 2 + kind, np.zeros(PACK, np.int64))
+    code = np.append(text * np.uint16(2) + kind, np.zeros(PACK, np.uint16))
     order, rank, head = np.arange(m), np.zeros(m + 1, np.int64), np.zeros(m, bool)
     rank[m], head[0] = -1, True
     # Separators are apart from the start, by position.
@@ -180,20 +192,22 @@ def _sort_lms(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray
     return order
 
 
-def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Symbols that the suffixes at ``a`` and ``b`` share, up to ``cap``; a separator ends them."""
-    out = np.zeros(len(a), np.int16)
-    live = np.arange(len(a))
-    top = len(text) - 1
-    done = 0
-    while len(live) and done < cap:
-        for _ in range(min(16, cap - done)):
-            x, y = text[np.minimum(a[live] + done, top)], text[np.minimum(b[live] + done, top)]
-            live = live[(x == y) & (x > 0)]
-            done += 1
-            out[live] = done
-            if not len(live):
-                break
+def _shared(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """Symbols that the suffixes at ``a`` and ``b`` share, up to ``cap``; ``ends`` has the next separator of each position.
+
+    Eight bytes are compared at a time; only pairs that still agree go on.
+    """
+    raw = np.append((text - np.uint16(1)).astype(np.uint8), np.zeros(8, np.uint8))
+    words = np.ndarray((len(text),), "<u8", raw, 0, (1,))
+    room = np.minimum(np.minimum(ends[a] - a, ends[b] - b), cap)
+    out, live, done = room.astype(np.int16), np.flatnonzero(room > 0), 0
+    while len(live):
+        differ = words[a[live] + done] ^ words[b[live] + done]
+        stop = np.flatnonzero(differ)
+        same = np.bitwise_count((differ[stop] & -differ[stop]) - np.uint64(1)).astype(np.int64) >> 3
+        out[live[stop]] = np.minimum(done + same, room[live[stop]])
+        done += 8
+        live = live[(differ == 0) & (room[live] > done)]
     return out
 
 
@@ -246,10 +260,10 @@ def repeated(segments: list[bytes], size: int, folder: str | None = None, limit:
     text, starts = join_segments(segments)
     kind = _types(text)
     lms = np.flatnonzero(kind & np.append(True, ~kind[:-1]))
-    lms = lms[(lms > 0) | (text[lms] == 0)]
+    lms = lms[(lms > 0) | (text[lms] == 0)].astype(np.int32 if len(text) < 1 << 31 else np.int64)
     order = _sort_lms(text, kind, lms)
     seeds = lms[order]
-    shared = np.append(np.int16(0), _shared(text, seeds[:-1], seeds[1:], size))
+    shared = np.append(np.int16(0), _shared(text, _fill_back(np.arange(len(text), dtype=seeds.dtype), text == 0), seeds[:-1], seeds[1:], size))
     bounds = np.searchsorted(text[seeds], np.arange(SYMBOLS + 1))
     queue = RunQueue(True, folder, limit)
     kept = RunQueue(False, folder, limit)  # the L suffixes, for the second pass

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import materialise
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, by_bytes
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PAD, END = 0xFE, 0xFF
@@ -87,7 +87,7 @@ def score_adaptive(docs: DataFrame, order: int = 4) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             scores = [Trie(order).score(t.as_py(), True) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 

@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, new_path, remove
-from .common import hot_join
+from .common import bit_filter, by_bytes, hot_join, with_bit
 from .induced_sort import repeated
 
 #: Bytes of text whose windows are anchored at once; longer texts go in pieces.
 PIECE = 1 << 20
 #: Bytes of segments that a shard has on average.
-SHARD_BYTES = 4 << 20
-#: The filter that spares rows a shuffle has at most so many bits (4 MB), whatever the input.
-FILTER_BITS = 1 << 25
+SHARD_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -55,8 +53,8 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 def segments(text: bytes, size: int) -> Iterator[tuple[int, int, int]]:
     """(anchor hash, first window, number of windows) of consecutive windows with one anchor."""
-    width = 1
-    while width < 32 and width * 4 <= size:
+    width = 1  # a long anchor string seldom repeats where its window doesn't
+    while width * 6 <= size:
         width *= 2
     raw = np.frombuffer(text, np.uint8)
     for at in range(0, max(0, len(raw) - size + 1), PIECE):
@@ -76,7 +74,7 @@ def _segment_table(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, th, a, c, lo, n): segments with the hashes of text, anchor and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             owner, rows = [], []
             for k, text in enumerate(batch.column(2)):
                 raw = _raw(text.as_py())
@@ -91,33 +89,6 @@ def _segment_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, a bigint, c bigint, lo bigint, n bigint")
 
 
-def _bit_filter(keys: DataFrame, key: str, rows: int) -> tuple[int, np.ndarray]:
-    """A bit for each hash in ``keys``: rows without it can't match. Its size is bounded by FILTER_BITS."""
-    bits = 1 << 16
-    while bits < min(FILTER_BITS, 16 * rows):
-        bits *= 2
-    spot = F.pmod(F.col(key), F.lit(bits))
-    words = keys.select(F.shiftright(spot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    found = words.toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    return bits, table
-
-
-def _with_bit(rows: DataFrame, key: str, bits: tuple[int, np.ndarray], want: bool = True) -> DataFrame:
-    """The rows whose hash has (or lacks) its bit."""
-    held, at = rows.sparkSession.sparkContext.broadcast(bits), rows.columns.index(key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, table = held.value
-        for batch in batches:
-            h = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            have = (table[(h & (size - 1)) >> 6] >> (h & 63)) & 1 == 1
-            yield batch.filter(pa.array(have == want))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _with_text(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """``docs`` joined to ``found`` on doc_id and text hash, null ids included."""
     f = found.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
@@ -135,17 +106,17 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     docs = docs.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     table = materialise(_segment_table(docs, size), "segments")
     anchors = table.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a").checkpoint()
-    near = _with_bit(table, "a", _bit_filter(anchors, "a", anchors.count()))
+    near = with_bit(table, "a", bit_filter(anchors, "a", anchors.count()))
     found = materialise(near.join(anchors, "a", "left_semi"), "repeated-segments")
     # Equal segments are one with a number; the one with the least place gives the text.
     place = F.struct("doc_id", "th", "lo", "n").alias("place")
     kinds = found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("copies"), F.first(place).alias("place")).checkpoint()
     wanted = kinds.groupBy("place.doc_id", "place.th").agg(F.collect_list(F.struct("a", "c", "copies", "place.lo", "place.n")).alias("parts"))
     sums = kinds.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum(F.col("place.n") + size), F.lit(0)).alias("b")).first()
-    asked = _with_bit(docs.select("doc_id", "th", "text"), "th", _bit_filter(kinds.select("place.th"), "th", sums["k"]))
+    asked = with_bit(docs.select("doc_id", "th", "text"), "th", bit_filter(kinds.select("place.th"), "th", sums["k"]))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             out = []
             for text, parts in zip(batch.column(0), batch.column(1)):
                 raw = _raw(text.as_py())
@@ -159,6 +130,7 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         held: dict[tuple[int, int], tuple[int, bytes]] = {}
         for batch in batches:
             held |= {(a, c): (n, b) for a, c, n, b in zip(*(x.to_pylist() for x in batch.columns))}
+        pa.default_memory_pool().release_unused()
         marks, keys = repeated([b for _, b in held.values()], size, folder), list(held)
         out = []
         for key, mask in zip(keys, marks):
@@ -201,18 +173,18 @@ def _apply(docs: DataFrame, size: int, make: Callable[[pa.RecordBatch, list], li
     """Rows of ``docs`` with columns that ``make`` gets from the batch and its spans, in the place of text and th."""
     docs, spans = repeated_spans(docs, size)
     spans = materialise(spans, "document-spans")
-    bits = _bit_filter(spans, "th", spans.count())
+    bits = bit_filter(spans, "th", spans.count())
     names = [*keep, "text"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             made = make(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *[a for _, a in made]], [*keep, *[n for n, _ in made]])
 
     # Only texts that may have spans are shuffled.
-    hit = _with_text(_with_bit(docs, "th", bits), spans, "left").select(*names, "spans")
-    rest = _with_bit(docs, "th", bits, False).select(*names, F.lit(None).cast("array<bigint>").alias("spans"))
+    hit = _with_text(with_bit(docs, "th", bits), spans, "left").select(*names, "spans")
+    rest = with_bit(docs, "th", bits, False).select(*names, F.lit(None).cast("array<bigint>").alias("spans"))
     return hit.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
 
 
