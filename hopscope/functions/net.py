@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,8 +49,6 @@ def in_networks(address: Column, networks: list[str]) -> Column:
 
 def in_networks_any(address: Column, networks: list[str]) -> Column:
     """As :func:`in_networks` for both versions; one Arrow batch at a time, as SQL has no 128-bit numbers."""
-    import pandas as pd
-
     nets = [ipaddress.ip_network(n) for n in networks]
 
     @F.pandas_udf("boolean")
