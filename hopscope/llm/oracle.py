@@ -59,5 +59,78 @@ FROM sc
 """
 
 
+OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits FROM p),
+f AS (SELECT hex, min(page_id) AS first FROM h GROUP BY hex)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT)
+    + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM h JOIN f USING (hex)
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEST_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP6 = rf"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TEST_WORD}') AS w FROM benchmark),
+ph AS (SELECT DISTINCT item, least(len(w), 10) AS l, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS phrase FROM b WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TEST_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, ls.l, unnest(range(1, len(w) - ls.l + 2)) AS p, unnest(list_transform(range(1, len(w) - ls.l + 2), lambda i: array_to_string(w[i:i + ls.l - 1], ' '))) AS phrase
+  FROM d, (SELECT DISTINCT l FROM ph) ls WHERE len(w) >= ls.l),
+o AS (SELECT g.doc_id, g.p, g.l, ph.item FROM g JOIN ph ON ph.l = g.l AND ph.phrase = g.phrase),
+h AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM o) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM o GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+def _template_tree(depth: int = 3, min_rows: int = 5, z: float = 3.0) -> str:
+    """One step a level: the segments of a template's urls that stay branches, the others become a wildcard."""
+    steps = []
+    for k in range(1, depth + 2):
+        up, keys = f"t{k - 1}", ", ".join(f"s{j}" for j in range(1, depth + 2))
+        older = ", ".join(f"r.t{j}" for j in range(k))
+        steps.append(f"""c{k} AS (SELECT host, {up}, s{k}, sum(n) AS cn, sum(l) AS cl, sum(b) AS cb FROM r{k - 1} GROUP BY ALL),
+w{k} AS (SELECT host, {up}, sum(cl) AS pl, sum(cb) AS pb FROM c{k} GROUP BY ALL),
+q{k} AS (SELECT c{k}.*, pl - cl AS rl, pb - cb AS rb, CAST(pb AS DOUBLE) / nullif(pl, 0) AS share FROM c{k} JOIN w{k} USING (host, {up})),
+r{k} AS (SELECT r.host, {", ".join(f"r.s{j}" for j in range(1, depth + 2))}, r.n, r.l, r.b, {older}, r.{up} || CASE WHEN r.s{k} IS NULL THEN ''
+    WHEN cn >= {min_rows} AND coalesce(abs(CAST(cb AS DOUBLE) / nullif(cl, 0) - CAST(rb AS DOUBLE) / nullif(rl, 0)) > {z} * sqrt(share * (1 - share) * (1.0::DOUBLE / nullif(cl, 0) + 1.0::DOUBLE / nullif(rl, 0))), false)
+    THEN '/' || r.s{k} ELSE '/*' END AS t{k} FROM r{k - 1} r JOIN q{k} q ON q.host = r.host AND q.{up} = r.{up} AND q.s{k} IS NOT DISTINCT FROM r.s{k})""")
+    return ",\n".join(steps)
+
+
+def _segment(k: int) -> str:
+    bare = rf"regexp_replace(seg[{k}], '\.[A-Za-z]{{1,5}}$', '')"
+    named = rf"regexp_extract(seg[{k}], '(\.[A-Za-z]{{1,5}})$', 1)"
+    return (
+        rf"CASE WHEN regexp_matches({bare}, '^[0-9]+([-_.][0-9]+)*$') THEN '{{n}}' || {named} WHEN regexp_matches({bare}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({bare}, '[0-9]') THEN '{{h}}' || {named} "
+        rf"WHEN regexp_matches({bare}, '^[^-_]+([-_][^-_]+){{2,}}$') THEN '{{s}}' || {named} ELSE seg[{k}] END AS s{k}"
+    )
+
+
+def _fits(rule: str) -> str:
+    host, _, path = rule.partition("/")
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+
+_RULES = (("block", "example.org/es/"), ("block", "example.org/en/1"), ("block", "com/de/"), ("allow", "com/fr/"), ("allow", "org/"))
+OP10 = rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(_RULES, key=lambda x: -len(x[1])))} END AS rule,
+  list_filter(str_split(path, '/'), lambda x: x <> '') AS seg FROM p),
+v AS (SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{w}'" for w, r in _RULES)} END AS given, {", ".join(_segment(k) for k in (1, 2, 3))}, CASE WHEN len(seg) > 3 THEN '**' END AS s4 FROM m),
+r0 AS (SELECT host, s1, s2, s3, s4, count(*) AS n, count(given) AS l, count(*) FILTER (given = 'block') AS b, '' AS t0 FROM v GROUP BY host, s1, s2, s3, s4),
+{_template_tree()},
+o AS (SELECT coalesce(CAST(sum(b) AS DOUBLE) / nullif(sum(l), 0), 0) AS prior FROM r0),
+x AS (SELECT host, t4 FROM r4 GROUP BY host, t4 HAVING (sum(b) + 10.0::DOUBLE * (SELECT prior FROM o)) / (sum(l) + 10.0::DOUBLE) >= 0.8),
+y AS (SELECT r4.* FROM r4 JOIN x USING (host, t4))
+SELECT v.page_id, v.host, v.path, v.rule, coalesce(given, CASE WHEN y.t4 IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN y ON y.host = v.host AND y.s1 IS NOT DISTINCT FROM v.s1 AND y.s2 IS NOT DISTINCT FROM v.s2 AND y.s3 IS NOT DISTINCT FROM v.s3 AND y.s4 IS NOT DISTINCT FROM v.s4
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op5_quality_rules": OP5}
+    return {"op2_mixing": OP2, "op3_warc_zip": OP3, "op5_quality_rules": OP5, "op6_fm_index": OP6, "op10_url_filters": OP10}
