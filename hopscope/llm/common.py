@@ -49,6 +49,14 @@ def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], count: str
     return hot.select(*cold.columns).unionByName(cold)
 
 
+def small_batches(docs: DataFrame, rows: int = 2000) -> DataFrame:
+    """``docs``; from now on its session hands at most ``rows`` rows at once to Python, as texts can be long."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes in ``column``, at least one row each: what is unpacked at once."""
     for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialise
-from .common import LOWER, UPPER, bit_filter, by_bytes, hot_join, with_bit
+from .common import LOWER, UPPER, bit_filter, by_bytes, hot_join, small_batches, with_bit
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles whose bits are counted at once.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _byte(fp: str | Column, k: int) -> Column:
@@ -168,7 +168,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     under one in twenty at 0.8 and fewer above, and each link is exact. Documents without words are alike. Rows with
     equal ids are one document; null ids are left out.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, new_path, remove
-from .common import bit_filter, by_bytes, hot_join, with_bit
+from .common import bit_filter, by_bytes, hot_join, small_batches, with_bit
 from .induced_sort import repeated
 
 #: Bytes of text whose windows are anchored at once; longer texts go in pieces.
@@ -103,7 +103,7 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     occurrences each, with the same spans.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    docs = small_batches(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     table = materialise(_segment_table(docs, size), "segments")
     anchors = table.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a").checkpoint()
     near = with_bit(table, "a", bit_filter(anchors, "a", anchors.count()))
