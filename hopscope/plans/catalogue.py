@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import domain, paths, signals, tables  # noqa: F401  (modules register their queries)
+from . import detectors, domain, paths, signals, tables  # noqa: F401  (modules register their queries)
 from .registry import QUERIES, SQL
 
 
