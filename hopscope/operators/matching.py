@@ -61,7 +61,7 @@ def classify_losses(obs: DataFrame, last_hop: int = 3, stall_us: int = 200_000)
 
 def segment_report(obs: DataFrame, last_hop: int = 3, least: int = 1) -> DataFrame:
     """A row per direction and hop: latency, kinds, and loss_percent, null with a reason where evidence is short."""
-    latency = latency_stats(hop_matches(obs.filter("attempt = 0")), "direction", "hop")
+    latency = latency_stats(hop_matches(obs), "direction", "hop")
     losses = classify_losses(obs, last_hop).groupBy("direction", "hop").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS[:-1]])
     rows = latency.join(losses, ["direction", "hop"], "full").fillna(0, ["matched", *KINDS[:-1]])
     lost, known = F.col("recovered") + F.col("impactful") + F.col("unrecovered"), F.col("matched") + F.col("recovered") + F.col("impactful") + F.col("unrecovered")

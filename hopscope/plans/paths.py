@@ -31,7 +31,7 @@ def segment_latency(obs: DataFrame) -> DataFrame:
 
 @query(f"""WITH {MATCHES}, {LOSSES}, l AS (SELECT direction, hop, count(*) AS matched, min(transit_us) AS min_us, quantile_cont(transit_us, 0.05) AS p05_us,
     quantile_cont(transit_us, 0.5) AS p50_us, quantile_cont(transit_us, 0.95) AS p95_us, max(transit_us) AS max_us, count(*) FILTER (transit_us < 0) AS negative
-    FROM m WHERE packet_key % 2 = 0 GROUP BY direction, hop),
+    FROM m GROUP BY direction, hop),
   k AS (SELECT direction, hop, count(*) FILTER (kind = 'capture_miss') AS capture_miss, count(*) FILTER (kind = 'recovered') AS recovered,
     count(*) FILTER (kind = 'impactful') AS impactful, count(*) FILTER (kind = 'unrecovered') AS unrecovered FROM kinds GROUP BY direction, hop)
   SELECT direction, hop, coalesce(matched, 0) AS matched, min_us, p05_us, p50_us, p95_us, max_us, negative, coalesce(capture_miss, 0) AS capture_miss, coalesce(recovered, 0) AS recovered,

@@ -10,12 +10,12 @@ from .paths import LOSSES, MATCHES
 from .registry import portable, query
 
 #: A planted clock error of the hops after the first: offset and drift.
-SKEW_US, DRIFT = 250_000, 0.000020
+SKEW_US, DRIFT = 250_000, 2e-9
 _T0 = 1704067200000000
 
-_SAMPLES = f"""s AS (SELECT 'hop' || CAST(hop + 1 AS VARCHAR) AS pair, t_a AS ref_us, t_b + 250000 + CAST(floor((t_b - {_T0}) * 0.00002::DOUBLE) AS BIGINT) AS other_us, direction = 'forward' AS fwd
+_SAMPLES = f"""s AS (SELECT 'hop' || CAST(hop + 1 AS VARCHAR) AS pair, t_a AS ref_us, t_b + 250000 + CAST(floor((t_b - {_T0}) * 2e-9::DOUBLE) AS BIGINT) AS other_us, direction = 'forward' AS fwd
     FROM m WHERE direction = 'forward' AND hop < 3 UNION ALL
-  SELECT 'hop' || CAST(3 - hop AS VARCHAR), t_b, t_a + 250000 + CAST(floor((t_a - {_T0}) * 0.00002::DOUBLE) AS BIGINT), false FROM m WHERE direction = 'reverse')"""
+  SELECT 'hop' || CAST(3 - hop AS VARCHAR), t_b, t_a + 250000 + CAST(floor((t_a - {_T0}) * 2e-9::DOUBLE) AS BIGINT), false FROM m WHERE direction = 'reverse')"""
 
 
 def two_way_samples(obs: DataFrame) -> DataFrame:
