@@ -6,13 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "hopscope", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A UTC session with adaptive execution; local unless the environment names a cluster."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,6 +23,23 @@ def build_session(app: str = "hopscope", cpus: int | str = "*", partitions: int
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hopscope_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="hopscope-package-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(folder / "hopscope.zip", "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(folder / "hopscope.zip"))
+    sc._hopscope_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
