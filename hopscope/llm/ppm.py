@@ -1,8 +1,9 @@
 """Prediction by partial matching over bytes, adaptive per document or trained on a corpus.
 
-A context is the last k bytes, k up to ``order``. A symbol seen n times after a context that was
-followed N times by q different symbols has probability (2n - 1) / 2N there; the escape to the next
-shorter context has q / 2N (estimate D). Symbols that a longer context knows are excluded from the
+A context is the last k bytes, k up to ``order``. A symbol counted n times after a context with N counts of
+q different symbols has probability (n - d) / N there; the escape to the next shorter context has d q / N,
+d being DISCOUNT. The longest contexts count every time; a shorter one counts a symbol once for each longer
+context that has met it (update exclusion). Symbols that a longer context knows are excluded from the
 counts of shorter ones; below the empty context the rest of the alphabet is equally likely. A text is
 its UTF-8 bytes with A-Z lower-cased and one end symbol. 0xFF is the end and 0xFE fills the context
 before the text; neither byte occurs in UTF-8.
@@ -14,12 +15,12 @@ the nodes that their texts need, the table answers, and each block scores its te
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -28,11 +29,14 @@ from ..session import materialise
 from .common import LOWER, UPPER, by_bytes
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 PAD, END = 0xFE, 0xFF
 #: All symbols but the filler.
 ALPHABET = 255
+#: What each symbol's count gives to the escape; one half is the estimate known as D.
+DISCOUNT = 0.3
 #: Bytes of text in a block, on average, and of text whose contexts are built at once.
-BLOCK_BYTES, PIECE = 32 << 20, 2 << 20
+BLOCK_BYTES, PIECE = 64 << 20, 2 << 20
 
 
 def _raw(text: str | None) -> bytes:
@@ -46,9 +50,11 @@ class Trie:
         self.order, self.nodes = order, defaultdict(dict)
 
     def add(self, context: bytes, symbol: int) -> None:
-        for k in range(self.order + 1):
+        for k in range(self.order, -1, -1):
             node = self.nodes[context[len(context) - k :]]
             node[symbol] = node.get(symbol, 0) + 1
+            if node[symbol] > 1:
+                return
 
     def log10(self, context: bytes, symbol: int) -> float:
         total, out = 0.0, set()
@@ -56,9 +62,9 @@ class Trie:
             node = self.nodes.get(context[len(context) - k :], {})
             n = sum(c for s, c in node.items() if s not in out)
             if symbol in node:
-                return total + math.log10((2 * node[symbol] - 1) / (2 * n))
+                return total + math.log10((node[symbol] - DISCOUNT) / n)
             if n:
-                total += math.log10(sum(s not in out for s in node) / (2 * n))
+                total += math.log10(DISCOUNT * sum(s not in out for s in node) / n)
             out |= node.keys()
         return total - math.log10(ALPHABET - len(out))
 
@@ -78,7 +84,7 @@ class Trie:
             context = (context + bytes([symbol]))[1:]
 
 
-def score_adaptive(docs: DataFrame, order: int = 4) -> DataFrame:
+def score_adaptive(docs: DataFrame, order: int = 5) -> DataFrame:
     """``docs`` with score: each text's log10 probability by a model that learns from that text only, as it goes.
 
     Null texts are empty. A column named score is replaced.
@@ -94,28 +100,82 @@ def score_adaptive(docs: DataFrame, order: int = 4) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
-def _pieces(raws: list[bytes], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, keys, starts): context and symbol of each place as one number, texts of about PIECE bytes at once."""
-    first = 0
-    while first < len(raws):
-        last, size = first, 0
-        while last < len(raws) and (last == first or size + len(raws[last]) <= PIECE):
-            size += len(raws[last])
-            last += 1
-        sizes = np.array([len(r) + 1 for r in raws[first:last]], np.int64)
-        pad, end = bytes([PAD]) * order, bytes([END])
-        data = np.frombuffer(b"".join(x for r in raws[first:last] for x in (pad, r, end)), np.uint8)
-        keys = np.zeros(len(data) - order, np.int64)
-        for j in range(order + 1):
-            keys <<= 8
-            keys |= data[j : len(data) - order + j]
-        yield first, keys[data[order:] != PAD], np.cumsum(sizes) - sizes
-        first = last
-
-
-def word_key(word: bytes) -> int:
-    """A negative 64-bit key; keys of contexts are not negative."""
-    return xxhash.xxh3_64_intdigest(word) | -(1 << 63)
+Span = tuple[int, int, int]  # text, first byte, end
+
+
+def _spans(raws: list[bytes], words: bool = False) -> Iterator[list[Span]]:
+    """Spans of texts, in lists of about PIECE bytes; a longer text is cut, for ``words`` at white space."""
+    held, size = [], 0
+    for k, raw in enumerate(raws):
+        at = 0
+        while True:
+            end = min(len(raw), at + PIECE)
+            if words and end < len(raw):
+                gap = _SPACE.search(raw, end)
+                end = gap.start() if gap else len(raw)
+            held.append((k, at, end))
+            size += end - at
+            at = end
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+            if end == len(raw):
+                break
+    if held:
+        yield held
+
+
+def _context_keys(raws: list[bytes], spans: list[Span], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol of each place as one number, and how many places each span has: its bytes, and the end."""
+    parts, sizes = [], []
+    for k, at, end in spans:
+        last = end == len(raws[k])
+        parts += [(bytes([PAD]) * order + raws[k][max(0, at - order) : at])[-order:], raws[k][at:end], bytes([END]) if last else b""]
+        sizes.append(end - at + last)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    keys = np.zeros(max(0, len(data) - order), np.int64)
+    for j in range(order + 1):
+        keys <<= 8
+        keys |= data[j : len(data) - order + j]
+    sizes = np.array(sizes, np.int64)
+    lead = np.repeat(np.tile([False, True], len(sizes)), np.stack([np.full(len(sizes), order), sizes], 1).ravel())
+    return keys[lead[order:]], sizes
+
+
+_POWERS: list[np.ndarray] = []
+_BASE = 0x9E3779B97F4A7C17
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = pow(_BASE, -1, 1 << 64)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, PIECE) - 1, b, np.uint64)])) for b in (_BASE, inverse)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+#: A random 64-bit number for each byte.
+_DIGITS = np.random.default_rng(42).integers(1, 1 << 64, 256, np.uint64)
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _word_keys(raws: list[bytes], spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+    """A negative key for each word (keys of contexts are not negative), and how many words each span has.
+
+    The key is a hash of the word's bytes as digits, from sums over the piece.
+    """
+    data = np.frombuffer(b" ".join([b"", *[raws[k][at:end] for k, at, end in spans], b""]), np.uint8)
+    space = _IS_SPACE[data]
+    first, last = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:])
+    up, down = _powers(len(data))
+    sums = np.cumsum(_DIGITS[data] * up)
+    h = (sums[last] - sums[first - 1]) * down[first]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    edges = np.cumsum([1] + [end - at + 1 for _, at, end in spans])
+    counts = np.diff(np.searchsorted(first, edges))
+    return (h | np.uint64(1 << 63)).view(np.int64), counts
 
 
 def _merged(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,21 +188,30 @@ def _merged(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 def requests(raws: list[bytes], train: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All keys that the texts need, with how often the training ones among the texts have them."""
-    parts, words = [], defaultdict(int)
-    for raw, learn in zip(raws, train):
-        for w in raw.split():
-            words[w] += learn
-    parts.append((np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))))
-    for first, keys, starts in _pieces(raws, order):
-        learn = np.repeat(np.array(train[first : first + len(starts)], bool), np.diff(np.append(starts, len(keys))))
-        for use, weight in ((learn, 1), (~learn, 0)):
-            k, n = np.unique(keys[use], return_counts=True)
+    parts, learn = [], np.array(train, bool)
+
+    def count(keys: np.ndarray, sizes: np.ndarray, spans: list[Span]) -> None:
+        use = np.repeat(learn[[k for k, _, _ in spans]], sizes)
+        for mask, weight in ((use, 1), (~use, 0)):
+            k, n = np.unique(keys[mask], return_counts=True)
             parts.append((k, n * weight))
         if len(parts) > 16:
-            parts = [_merged(parts)]
+            parts[:] = [_merged(parts)]
+
+    for spans in _spans(raws, words=True):
+        count(*_word_keys(raws, spans), spans)
+    for spans in _spans(raws):
+        count(*_context_keys(raws, spans, order), spans)
     return _merged(parts)
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray, spans: list[Span], texts: int) -> np.ndarray:
+    """The sum of each text's values, spans of a text together."""
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return np.bincount([k for k, _, _ in spans], total[ends] - total[ends - sizes], texts)
+
+
 class Answers:
     """A hash table of values by key, for many keys at once."""
 
@@ -171,18 +240,6 @@ class Answers:
         return self.values[slot]
 
 
-class _Counts(dict):
-    """Training counts of words, looked up by hash the first time."""
-
-    def __init__(self, table: dict[int, float]):
-        super().__init__()
-        self.table = table
-
-    def __missing__(self, word: bytes) -> float:
-        self[word] = found = self.table[word_key(word)]
-        return found
-
-
 def _block_rows(docs: DataFrame, train: Column) -> tuple[DataFrame, int]:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -194,14 +251,14 @@ def _lower_orders(known: DataFrame, open_: DataFrame, order: int) -> DataFrame:
     """(key, v): log10 probability of keys that no training text has, through ever shorter contexts.
 
     ``known`` has key and n of the longest contexts; ``open_`` key, N and q of its context, 0 if that is new.
-    Counts of shorter contexts are sums of longer ones', so what a context knows, its suffixes know:
+    A shorter context counts the longer ones that know the symbol, so what a context knows, its suffixes know:
     the excluded symbols are those of the next longer known context. Each step keeps what is open.
     """
-    open_ = open_.select("key", F.when(F.col("q") > 0, F.log10(F.col("q") / (2 * F.col("N")))).otherwise(F.lit(0.0)).alias("v"), F.when(F.col("q") > 0, F.shiftright("key", 8)).alias("above"))
+    open_ = open_.select("key", F.when(F.col("q") > 0, F.log10(DISCOUNT * F.col("q") / F.col("N"))).otherwise(F.lit(0.0)).alias("v"), F.when(F.col("q") > 0, F.shiftright("key", 8)).alias("above"))
     open_, done = open_.withColumn("symbols", F.lit(0).cast("long")).checkpoint(), []
     for k in range(order - 1, -1, -1):
         low_mask, context_mask = F.lit((1 << 8 * (k + 1)) - 1), F.lit((1 << 8 * k) - 1)
-        low = known.groupBy(F.col("key").bitwiseAND(low_mask).alias("key")).agg(F.sum("n").alias("n")).checkpoint()
+        low = known.groupBy(F.col("key").bitwiseAND(low_mask).alias("key")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
         node = low.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("q"))
         contexts = open_.filter("above IS NOT NULL").select("above").distinct()
         shut = known.select(F.shiftright("key", 8).alias("above"), F.col("key").bitwiseAND(low_mask).alias("low")).join(contexts, "above", "left_semi")
@@ -209,7 +266,7 @@ def _lower_orders(known: DataFrame, open_: DataFrame, order: int) -> DataFrame:
         rows = open_.withColumns({"low": F.col("key").bitwiseAND(low_mask), "context": F.shiftright("key", 8).bitwiseAND(context_mask)})
         rows = rows.join(node, "context", "left").join(shut, "above", "left").join(low.select(F.col("key").alias("low"), F.col("n").alias("low_n")), "low", "left")
         left_n, left_q = F.col("N") - F.coalesce("shut_n", F.lit(0)), F.col("q") - F.coalesce("shut_q", F.lit(0))
-        step = F.when(F.col("low_n").isNotNull(), F.log10((2 * F.col("low_n") - 1) / (2 * left_n))).when(left_n > 0, F.log10(left_q / (2 * left_n))).otherwise(F.lit(0.0))
+        step = F.when(F.col("low_n").isNotNull(), F.log10((F.col("low_n") - DISCOUNT) / left_n)).when(left_n > 0, F.log10(DISCOUNT * left_q / left_n)).otherwise(F.lit(0.0))
         above = F.when(F.col("N").isNotNull(), F.col("context")).otherwise(F.col("above"))
         rows = rows.select("key", (F.col("v") + step).alias("v"), above.alias("above"), F.col("low_n").isNotNull().alias("found"), F.col("q").alias("symbols")).checkpoint()
         done.append(rows.filter("found").select("key", "v"))
@@ -222,7 +279,7 @@ def _lower_orders(known: DataFrame, open_: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def score_corpus(docs: DataFrame, train: Column, order: int = 4) -> DataFrame:
+def score_corpus(docs: DataFrame, train: Column, order: int = 5) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
     score is the text's log10 probability by the model of the rows where ``train`` holds. Beside it,
@@ -251,7 +308,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = 4) -> DataFrame:
     summed = asked.withColumn("context", context).withColumn("c", F.sum("n").over(same_key))
     summed = summed.withColumn("first", (F.row_number().over(same_key.orderBy("block")) == 1) & (F.col("c") > 0))
     summed = summed.withColumns({"N": F.sum("n").over(same_context), "q": F.count_if("first").over(same_context)})
-    value = F.when(F.col("key") < 0, F.col("c").cast("double")).when(F.col("c") > 0, F.log10((2 * F.col("c") - 1) / (2 * F.col("N"))))
+    value = F.when(F.col("key") < 0, F.col("c").cast("double")).when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT) / F.col("N")))
     answers = materialise(summed.select("key", "block", "first", F.when(F.col("first"), F.col("c")).alias("c"), value.alias("v"), F.when(value.isNull(), F.col("N")).alias("N"), F.when(value.isNull(), F.col("q")).alias("q")), "answers")
     words = answers.filter("first AND key < 0").agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = rows.filter("train").count()
@@ -268,16 +325,19 @@ def score_corpus(docs: DataFrame, train: Column, order: int = 4) -> DataFrame:
         raws = [_raw(t.as_py()) for t in left["text"]]
         keys, values = right["key"].to_numpy(), right["v"].to_numpy()
         is_word = keys < 0
-        counts = _Counts(dict(zip(keys[is_word].tolist(), values[is_word].tolist()))).__getitem__
-        base, score = np.zeros(n), np.zeros(n)
-        n_tokens, n_known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k, raw in enumerate(raws):
-            seen = np.fromiter(map(counts, raw.split()), np.float64)
-            seen = np.append(seen, float(ends))
-            base[k], n_tokens[k], n_known[k] = np.log10((seen + 0.1) / divisor).sum(), len(seen), np.count_nonzero(seen)
+        base, score, n_tokens, n_known = np.full(n, math.log10((ends + 0.1) / divisor)), np.zeros(n), np.ones(n), np.full(n, float(ends > 0))
+        table = Answers(keys[is_word], values[is_word])
+        for spans in _spans(raws, words=True):
+            found, sizes = _word_keys(raws, spans)
+            counts = table.get(found)
+            base += _sums(np.log10((counts + 0.1) / divisor), sizes, spans, n)
+            n_known += _sums(counts > 0, sizes, spans, n)
+            n_tokens += _sums(np.ones(len(counts)), sizes, spans, n)
         table = Answers(keys[~is_word], values[~is_word])
-        for first, places, starts in _pieces(raws, order):
-            score[first : first + len(starts)] = np.add.reduceat(table.get(places), starts)
+        for spans in _spans(raws):
+            found, sizes = _context_keys(raws, spans, order)
+            score += _sums(table.get(found), sizes, spans, n)
+        n_tokens, n_known = n_tokens.astype(np.int64), n_known.astype(np.int64)
         out = {"doc_id": left["doc_id"], "train": left["train"], "n_tokens": n_tokens, "n_known": n_known}
         return pa.table(out | {"train_tokens": np.full(n, total, np.int64), "base_score": base, "score": score})
 

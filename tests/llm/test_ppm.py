@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ def corpus():
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 4))) for _ in range(30)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(60)]
-    texts += [None, "", "ZZZ new\tbytes € zz", "x" * 3000, texts[0], texts[0].upper()]
+    texts += [None, "", "word " * 300 + "x" * 700, "ZZZ new\tbytes € zz", "x" * 3000, texts[0], texts[0].upper()]
     return [(k, t, k % 5 != 0) for k, t in enumerate(texts)] + [(None, "abc", None)]
 
 
@@ -39,6 +40,21 @@ def test_scores_match_the_trie(spark, monkeypatch, order):
         assert r.score == pytest.approx(trie.score(text, False), rel=1e-9)
 
 
+def test_spans_cut_long_texts(monkeypatch):
+    monkeypatch.setattr(ppm, "PIECE", 50)
+    raws = [b"", b"ab cd " * 40, b"x" * 170, b" lead and trail ", b"q"]
+    whole = {}
+    for words in (False, True):
+        seen = [s for spans in ppm._spans(raws, words) for s in spans]
+        assert all(b"".join(raws[k][a:e] for j, a, e in seen if j == k) == raws[k] for k in range(len(raws)))
+        whole[words] = len(seen)
+    assert whole[False] > len(raws)
+    keys = [(k, key) for spans in ppm._spans(raws, True) for (k, _, _), part in zip(spans, np.split(*(lambda x: (x[0], np.cumsum(x[1])[:-1]))(ppm._word_keys(raws, spans)))) for key in part]
+    names = [(k, w) for k, raw in enumerate(raws) for w in raw.split()]
+    assert len(keys) == len(names) and len({(k, v) for k, v in keys}) == len(set(names))
+    assert all(v < 0 for _, v in keys)
+
+
 def test_probabilities_sum_to_one():
     trie = ppm.Trie(3)
     for text in ("abracadabra", "abba", "é"):
