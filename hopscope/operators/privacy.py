@@ -48,3 +48,61 @@ def anonymise_ipv4(column: Column, key: bytes) -> Column:
 def headers_only(payload: Column, covered: Column, header_length: Column) -> Column:
     """The header bytes of a record, null unless they form a covered prefix: nothing uncertain is let through."""
     return F.when(covered >= header_length, F.substring(payload, 1, header_length))
+
+
+def _carry(total: int) -> int:
+    while total >> 16:
+        total = (total & 0xFFFF) + (total >> 16)
+    return total
+
+
+def updated_checksum(old: int, before: bytes, after: bytes) -> int:
+    """A 16-bit checksum after some of its words changed, by their difference: one that was wrong stays as wrong."""
+    total = ~old & 0xFFFF
+    for k in range(0, len(before), 2):
+        total += (~int.from_bytes(before[k : k + 2], "big") & 0xFFFF) + int.from_bytes(after[k : k + 2], "big")
+    return ~_carry(total) & 0xFFFF
+
+
+def anonymise_record(data: bytes, key: bytes) -> bytes | None:
+    """The Ethernet, IPv4 and TCP or UDP headers of a record with mapped addresses and zero payload.
+
+    Hardware addresses get keyed ones that keep the group bit. A record whose headers aren't all there, or that
+    is of another kind, is refused (None): nothing uncertain gets out.
+    """
+    if len(data) < 34 or data[12:14] != b"\x08\x00" or data[14] >> 4 != 4:
+        return None
+    header = (data[14] & 15) * 4
+    body, proto = 14 + header, data[23]
+    size = {6: 20, 17: 8}.get(proto)
+    if header < 20 or size is None or len(data) < body + size or int.from_bytes(data[20:22], "big") & 0x1FFF:
+        return None
+    if proto == 6:
+        size = (data[body + 12] >> 4) * 4
+        if size < 20 or len(data) < body + size:
+            return None
+    out = bytearray(data[: body + size] + bytes(len(data) - body - size))
+    for at in (0, 6):
+        mac = hmac.digest(key, b"mac" + data[at : at + 6], hashlib.sha256)[:6]
+        out[at : at + 6] = data[at : at + 6] if data[at : at + 6] == b"\xff" * 6 else bytes([mac[0] & 0xFE | data[at] & 1, *mac[1:]])
+    before = data[26:34]
+    after = b"".join(ipaddress.ip_address(map_address(str(ipaddress.ip_address(before[k : k + 4])), key)).packed for k in (0, 4))
+    out[26:34] = after
+    out[24:26] = updated_checksum(int.from_bytes(data[24:26], "big"), before, after).to_bytes(2, "big")
+    place = body + (16 if proto == 6 else 6)
+    old = int.from_bytes(data[place : place + 2], "big")
+    if proto == 6 or old:
+        gone = data[body + size :]
+        payload = gone + b"\0" * (len(gone) % 2)
+        out[place : place + 2] = updated_checksum(old, before + payload, after + bytes(len(payload))).to_bytes(2, "big")
+    return bytes(out)
+
+
+def anonymise_records(column: Column, key: bytes) -> Column:
+    """:func:`anonymise_record` over a binary column; refused records are null."""
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else anonymise_record(bytes(v), key))
+
+    return run(column)

@@ -100,3 +100,37 @@ def overlay(rows: DataFrame, layer: DataFrame, by: list[str]) -> DataFrame:
     fresh = layer.select(*by, *[F.col(c).alias(f"_n_{c}") for c in names])
     joined = rows.join(fresh, by, "left")
     return joined.select(*[F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in rows.columns])
+
+
+LAYERS = "array<struct<proto:string,src:string,dst:string,sport:int,dport:int,length:int>>"
+
+
+def layer_rows(lines: DataFrame) -> DataFrame:
+    """The layers of nested decodes, one row each: plain without a tunnel, else outer, inner or middle.
+
+    ``lines`` has source, row_id and value, a JSON array of address layers from the outside in.
+    """
+    parsed = lines.select("source", "row_id", F.from_json("value", LAYERS).alias("layers"))
+    rows = parsed.select("source", "row_id", F.size("layers").alias("depth"), F.posexplode("layers").alias("at", "layer"))
+    role = F.when(F.col("depth") == 1, "plain").when(F.col("at") == 0, "outer").when(F.col("at") == F.col("depth") - 1, "inner").otherwise("middle")
+    return rows.select("source", "row_id", role.alias("role"), "layer.*")
+
+
+def choose_layer(rows: DataFrame, layers: DataFrame, role: str) -> DataFrame:
+    """``rows`` with the addresses and lengths of one layer; records without that layer keep their own."""
+    wanted = layers.filter((F.col("role") == role) | (F.col("role") == "plain")).drop("role")
+    return overlay(rows, wanted, ["source", "row_id"])
+
+
+def protocol_fields(lines: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """Scoped columns per protocol from JSON fields: ``names`` has the fields of each; others are null."""
+    columns = [F.when(F.col("proto") == proto, F.get_json_object("value", f"$.{name}")).alias(f"{proto}_{name}") for proto, fields in names.items() for name in fields]
+    return lines.select("source", "row_id", "proto", *columns)
+
+
+def merged_fields(rows: DataFrame, fresh: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the map column fields extended by ``fresh``'s: its values win, a null removes nothing."""
+    extra = fresh.select(*by, F.col("fields").alias("_f"))
+    joined = rows.join(extra, by, "left")
+    merged = F.when(F.col("_f").isNull(), F.col("fields")).otherwise(F.map_concat(F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(F.col("_f"), k)), F.col("_f")))
+    return joined.withColumn("fields", merged).drop("_f")
