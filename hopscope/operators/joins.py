@@ -74,7 +74,7 @@ def interval_join(points: DataFrame, ranges: DataFrame, by: list[str], lo: str,
     return placed.join(listed, [*by, "_bin"]).filter((F.col(at_lo) >= F.col(lo)) & (F.col(at_hi) <= F.col(hi))).drop("_bin")
 
 
-def rolling_distinct(rows: DataFrame, by: str, on: str, target: str, row: str, width: int) -> DataFrame:
+def rolling_distinct(rows: DataFrame, by: str, on: str, target: str, width: int) -> DataFrame:
     """``rows`` with targets: the distinct targets of the key in the last ``width``, this row's included.
 
     A target counts at most once in a window that slides, so it is enough to know when each was

@@ -119,7 +119,7 @@ def unique_owner_pairs(ev: DataFrame) -> DataFrame:
 @query("""SELECT a.event_id, a.flow, a.t_us, count(DISTINCT b.event_type) AS targets FROM ev a JOIN ev b ON a.flow = b.flow AND b.t_us BETWEEN a.t_us - 21600000000 AND a.t_us
   GROUP BY ALL HAVING count(DISTINCT b.event_type) >= 3""")
 def rolling_fanout(ev: DataFrame) -> DataFrame:
-    found = joins.rolling_distinct(ev, "flow", "t_us", "event_type", "event_id", 21_600_000_000)
+    found = joins.rolling_distinct(ev, "flow", "t_us", "event_type", 21_600_000_000)
     return found.filter("targets >= 3").select("event_id", "flow", "t_us", "targets")
 
 

@@ -25,7 +25,7 @@ portable("weighted_excess", """WITH m AS (SELECT a.direction, a.hop, b.t_us - a.
   SELECT direction, hop, CAST(sum(greatest(0, d - 2500) * len) AS BIGINT) AS excess, round(sum(greatest(0, d - 2500) * len) / nullif(CAST(sum(len) AS DOUBLE), 0), 6) AS mean_excess FROM m GROUP BY direction, hop""")
 
 
-@query("""SELECT flow, to_json(list(event_id ORDER BY t_us, event_id)) AS events, to_json(list_sort(list(DISTINCT event_type))) AS types FROM ev GROUP BY flow""")
+@query("""SELECT flow, CAST(to_json(list(event_id ORDER BY t_us, event_id)) AS VARCHAR) AS events, CAST(to_json(list_sort(list(DISTINCT event_type))) AS VARCHAR) AS types FROM ev GROUP BY flow""")
 def ordered_lists(ev: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("t_us", "event_id"))), lambda r: r["event_id"])
     return ev.groupBy("flow").agg(F.to_json(ordered).alias("events"), F.to_json(F.array_sort(F.collect_set("event_type"))).alias("types"))
@@ -47,9 +47,9 @@ portable("distinct_keys", "SELECT DISTINCT packet_key, direction FROM {obs}")
 portable("coverage_intersection", "SELECT direction, max(a) AS start_us, min(b) AS end_us FROM (SELECT direction, point, min(t_us) AS a, max(t_us) AS b FROM {obs} GROUP BY direction, point) GROUP BY direction")
 portable("source_inventory", "SELECT point, max(len) AS max_len, min(len) FILTER (WHERE len > 100) AS min_long, count(*) AS n FROM {obs} GROUP BY point")
 portable("json_fields", """SELECT event_id, k, CASE WHEN JSON_TEXT(props, '$.none') IS NULL THEN 1 ELSE 0 END AS absent, k * 2 AS twice FROM {ev} WHERE JSON_TEXT(props, '$.k') IS NOT NULL""")
-portable("string_fields", """SELECT doc_id, substr(text, 2, 12) AS head, length(text) AS n, text ILIKE '%THE%' AS has_the, nullif(lang, 'en') AS other, md5(text) AS digest FROM {documents}""")
+portable("string_fields", """SELECT doc_id, substr(text, 2, 12) AS head, CAST(length(text) AS BIGINT) AS n, text ILIKE '%THE%' AS has_the, nullif(lang, 'en') AS other, md5(text) AS digest FROM {documents}""")
 portable("duplicate_content", "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM {documents} GROUP BY md5(text) HAVING count(*) > 1")
-portable("turn_pairs", """SELECT a.conv_id, a.turn, a.role, b.role AS next_role, length(b.text) - length(a.text) AS growth FROM {conversations} a JOIN {conversations} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
+portable("turn_pairs", """SELECT a.conv_id, a.turn, a.role, b.role AS next_role, CAST(length(b.text) - length(a.text) AS BIGINT) AS growth FROM {conversations} a JOIN {conversations} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
 portable("transit_orders", """SELECT o.o_orderpriority, count(*) AS n, CAST(sum(CASE WHEN l.l_orderkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_lines FROM {orders} o LEFT JOIN
   (SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderpriority""")
 
