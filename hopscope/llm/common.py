@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,15 @@ def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], count: str
     return hot.select(*cold.columns).unionByName(cold)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker waits idle between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(docs: DataFrame, rows: int = 2000) -> DataFrame:
     """``docs``; from now on its session hands at most ``rows`` rows at once to Python, as texts can be long."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

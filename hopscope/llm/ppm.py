@@ -8,8 +8,8 @@ counts of shorter ones; below the empty context the rest of the alphabet is equa
 its UTF-8 bytes with A-Z lower-cased and one end symbol. 0xFF is the end and 0xFE fills the context
 before the text; neither byte occurs in UTF-8.
 
-The trained trie is a table of contexts and symbols, never a broadcast: blocks of documents ask for
-the nodes that their texts need, the table answers, and each block scores its texts by the answers.
+The trained trie is a table of contexts and symbols, never a broadcast: blocks of texts, each a file in
+the shared folder, ask for the nodes that they need, the table answers, and each block is scored by the answers.
 """
 
 from __future__ import annotations
@@ -18,15 +18,19 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.ipc  # noqa: F401  (as pa.ipc)
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..session import materialise
-from .common import LOWER, UPPER, by_bytes
+from ..session import materialise, new_path, release, remove
+from .common import LOWER, UPPER, by_bytes, give_back, small_batches
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -36,7 +40,7 @@ ALPHABET = 255
 #: What each symbol's count gives to the escape; one half is the estimate known as D.
 DISCOUNT = 0.3
 #: Bytes of text in a block, on average, and of text whose contexts are built at once.
-BLOCK_BYTES, PIECE = 64 << 20, 2 << 20
+BLOCK_BYTES, PIECE = 64 << 20, 1 << 20
 
 
 def _raw(text: str | None) -> bytes:
@@ -179,29 +183,32 @@ def _word_keys(raws: list[bytes], spans: list[Span]) -> tuple[np.ndarray, np.nda
 
 
 def _merged(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their numbers."""
     parts = list(parts)
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    keys = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in parts]])
+    counts = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
 def requests(raws: list[bytes], train: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All keys that the texts need, with how often the training ones among the texts have them."""
     parts, learn = [], np.array(train, bool)
 
-    def count(keys: np.ndarray, sizes: np.ndarray, spans: list[Span]) -> None:
+    def add(keys: np.ndarray, sizes: np.ndarray, spans: list[Span]) -> None:
         use = np.repeat(learn[[k for k, _, _ in spans]], sizes)
         for mask, weight in ((use, 1), (~use, 0)):
             k, n = np.unique(keys[mask], return_counts=True)
             parts.append((k, n * weight))
-        if len(parts) > 16:
+        if len(parts) > 8:
             parts[:] = [_merged(parts)]
 
     for spans in _spans(raws, words=True):
-        count(*_word_keys(raws, spans), spans)
+        add(*_word_keys(raws, spans), spans)
     for spans in _spans(raws):
-        count(*_context_keys(raws, spans, order), spans)
+        add(*_context_keys(raws, spans, order), spans)
     return _merged(parts)
 
 
@@ -240,11 +247,50 @@ class Answers:
         return self.values[slot]
 
 
-def _block_rows(docs: DataFrame, train: Column) -> tuple[DataFrame, int]:
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), block.alias("block")), blocks
+def _write_blocks(rows: DataFrame, folder: str, order: int) -> DataFrame:
+    """(block, key, n): what each block of ``rows`` (doc_id, text, train) asks for; its texts are a file in ``folder``.
+
+    A block is up to about BLOCK_BYTES of a partition's texts. Its number has that of the task's attempt, so an
+    attempt that is lost or repeated leaves files that no row of the table names; and it is small, as it goes with each key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = count(TaskContext.get().taskAttemptId() << 12)
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+
+        def told(block: int, parts: list) -> Iterator[pa.RecordBatch]:
+            keys, counts = _merged(parts)
+            for at in range(0, len(keys), 1 << 18):
+                k, n = keys[at : at + (1 << 18)], counts[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.array(n, pa.int32())], ["block", "key", "n"])
+
+        out = writer = block = None
+        size, parts = 0, []
+        for batch in by_bytes(batches, 1, 2 * PIECE):
+            if not len(batch):
+                continue
+            if writer is None:
+                block, size, parts = next(numbers), 0, []
+                out = fs.open_output_stream(f"{root}/{block}")
+                writer = pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            writer.write_batch(batch)
+            size += batch.column(1).nbytes
+            parts.append(requests([_raw(t.as_py()) for t in batch.column(1)], batch.column(2).to_pylist(), order))
+            parts = [_merged(parts)] if len(parts) > 3 else parts
+            if size >= BLOCK_BYTES:
+                writer.close()
+                out.close()
+                yield from told(block, parts)
+                writer = None
+        if writer is not None:
+            writer.close()
+            out.close()
+            yield from told(block, parts)
+        parts.clear()
+        give_back()
+
+    return rows.mapInArrow(run, "block bigint, key bigint, n int")
 
 
 def _lower_orders(known: DataFrame, open_: DataFrame, order: int) -> DataFrame:
@@ -289,27 +335,28 @@ def score_corpus(docs: DataFrame, train: Column, order: int = 5) -> DataFrame:
 
     A block sends each key that it needs once, with its training count. The keys of a context meet in
     one task, in at most 256 rows a block, and sum up there to what the answers need; those that no
-    training text has go on to shorter contexts. Both ways the rows are in proportion to the text.
+    training text has go on to shorter contexts. Both ways the rows are in proportion to the text, and
+    the texts themselves stay in their blocks' files.
     """
     if not 1 <= order <= 6:
         raise ValueError("order is 1 to 6")
-    rows, blocks = _block_rows(docs, train)
-    held = rows.repartition(blocks, "block")
-
-    def ask(table: pa.Table) -> pa.Table:
-        raws = [_raw(t.as_py()) for t in table["text"]]
-        keys, counts = requests(raws, table["train"].to_pylist(), order)
-        block = pa.array(np.full(len(keys), table["block"][0].as_py(), np.int32))
-        return pa.table({"key": keys, "block": block, "n": pa.array(counts, pa.int32())})
-
-    asked = held.groupBy("block").applyInArrow(ask, "key bigint, block int, n int")
+    spark = docs.sparkSession
+    rows = small_batches(docs).select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    folder = new_path(spark, "blocks")
+    # Small partitions are put together, or each would ask for the frequent keys anew.
+    path = new_path(spark, "asked")
+    _write_blocks(rows.coalesce(max(1, -(-size // BLOCK_BYTES))), folder, order).write.option("compression", "zstd").parquet(path)
+    asked = spark.read.schema("block bigint, key bigint, n int").parquet(path)
     context = F.when(F.col("key") >= 0, F.shiftright("key", 8)).otherwise(F.col("key"))
     same_key, same_context = Window.partitionBy("context", "key"), Window.partitionBy("context")
     summed = asked.withColumn("context", context).withColumn("c", F.sum("n").over(same_key))
     summed = summed.withColumn("first", (F.row_number().over(same_key.orderBy("block")) == 1) & (F.col("c") > 0))
     summed = summed.withColumns({"N": F.sum("n").over(same_context), "q": F.count_if("first").over(same_context)})
     value = F.when(F.col("key") < 0, F.col("c").cast("double")).when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT) / F.col("N")))
-    answers = materialise(summed.select("key", "block", "first", F.when(F.col("first"), F.col("c")).alias("c"), value.alias("v"), F.when(value.isNull(), F.col("N")).alias("N"), F.when(value.isNull(), F.col("q")).alias("q")), "answers")
+    answers = materialise(summed.select("key", "block", "first", F.when(F.col("first"), F.col("c")).alias("c"), value.alias("v"), F.when(value.isNull(), F.col("N")).alias("N"), F.when(value.isNull(), F.col("q")).alias("q")), "answers", "zstd")
+    remove(spark, path)
+    release(spark)
     words = answers.filter("first AND key < 0").agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = rows.filter("train").count()
     total, distinct = words["n"] + ends, words["v"] + (ends > 0)
@@ -320,27 +367,37 @@ def score_corpus(docs: DataFrame, train: Column, order: int = 5) -> DataFrame:
     late = answers.filter("v IS NULL").select("key", "block").join(late, "key").select("block", "key", "v")
     told = answers.filter("v IS NOT NULL").select("block", "key", "v").unionByName(late)
 
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = len(left)
-        raws = [_raw(t.as_py()) for t in left["text"]]
+    def answer(right: pa.Table) -> pa.Table:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        name = f"{root}/{right['block'][0].as_py()}"
         keys, values = right["key"].to_numpy(), right["v"].to_numpy()
         is_word = keys < 0
-        base, score, n_tokens, n_known = np.full(n, math.log10((ends + 0.1) / divisor)), np.zeros(n), np.ones(n), np.full(n, float(ends > 0))
-        table = Answers(keys[is_word], values[is_word])
-        for spans in _spans(raws, words=True):
-            found, sizes = _word_keys(raws, spans)
-            counts = table.get(found)
-            base += _sums(np.log10((counts + 0.1) / divisor), sizes, spans, n)
-            n_known += _sums(counts > 0, sizes, spans, n)
-            n_tokens += _sums(np.ones(len(counts)), sizes, spans, n)
-        table = Answers(keys[~is_word], values[~is_word])
-        for spans in _spans(raws):
-            found, sizes = _context_keys(raws, spans, order)
-            score += _sums(table.get(found), sizes, spans, n)
-        n_tokens, n_known = n_tokens.astype(np.int64), n_known.astype(np.int64)
+        words, contexts = Answers(keys[is_word], values[is_word]), Answers(keys[~is_word], values[~is_word])
+        del keys, values, is_word
+        parts, ids = [], []
+        with fs.open_input_file(name) as f:
+            for batch in pa.ipc.open_stream(f):
+                raws = [_raw(t.as_py()) for t in batch.column(1)]
+                n = len(raws)
+                base, score, n_tokens, n_known = np.full(n, math.log10((ends + 0.1) / divisor)), np.zeros(n), np.ones(n), np.full(n, float(ends > 0))
+                for spans in _spans(raws, words=True):
+                    found, sizes = _word_keys(raws, spans)
+                    counts = words.get(found)
+                    base += _sums(np.log10((counts + 0.1) / divisor), sizes, spans, n)
+                    n_known += _sums(counts > 0, sizes, spans, n)
+                    n_tokens += _sums(np.ones(len(counts)), sizes, spans, n)
+                for spans in _spans(raws):
+                    found, sizes = _context_keys(raws, spans, order)
+                    score += _sums(contexts.get(found), sizes, spans, n)
+                parts.append((n_tokens.astype(np.int64), n_known.astype(np.int64), base, score))
+                ids.append(batch.select(["doc_id", "train"]))
+        left = pa.Table.from_batches(ids)
+        n_tokens, n_known, base, score = (np.concatenate(c) for c in zip(*parts))
+        del words, contexts
+        give_back()
         out = {"doc_id": left["doc_id"], "train": left["train"], "n_tokens": n_tokens, "n_known": n_known}
-        return pa.table(out | {"train_tokens": np.full(n, total, np.int64), "base_score": base, "score": score})
+        return pa.table(out | {"train_tokens": np.full(len(base), total, np.int64), "base_score": base, "score": score})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, schema)
+    return told.groupBy("block").applyInArrow(answer, schema)

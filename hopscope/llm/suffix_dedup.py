@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, new_path, remove
-from .common import bit_filter, by_bytes, hot_join, small_batches, with_bit
+from .common import bit_filter, by_bytes, give_back, hot_join, small_batches, with_bit
 from .induced_sort import repeated
 
 #: Bytes of text whose windows are anchored at once; longer texts go in pieces.
@@ -130,7 +130,6 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         held: dict[tuple[int, int], tuple[int, bytes]] = {}
         for batch in batches:
             held |= {(a, c): (n, b) for a, c, n, b in zip(*(x.to_pylist() for x in batch.columns))}
-        pa.default_memory_pool().release_unused()
         marks, keys = repeated([b for _, b in held.values()], size, folder), list(held)
         out = []
         for key, mask in zip(keys, marks):
@@ -146,6 +145,7 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         for at in range(0, len(out), 10_000):
             part = out[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])], ["a", "c", "copies", "spans"])
+        give_back()
 
     shards = max(1, -(-int(sums["b"]) // SHARD_BYTES))
     spans = materialise(bodies.repartition(shards, "a").mapInArrow(shard, "a bigint, c bigint, copies bigint, spans array<bigint>"), "segment-spans")
