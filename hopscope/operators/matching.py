@@ -96,13 +96,14 @@ def match_occurrences(rows: DataFrame, anchor: str, on: str, row: str, window: i
     paired = good.join(even, "base_key").join(anchors.withColumnRenamed("_o", "occurrence"), ["base_key", "occurrence"], "left")
     inside = F.coalesce(F.abs(F.col(on) - F.col("_at")) <= window, F.lit(False))
     paired = paired.withColumn("_bal", F.col("_even") & F.col("_known") & F.bool_and(inside).over(Window.partitionBy("base_key")))
-    level = paired.filter("_bal").select("point", row, F.col("occurrence").alias("_match"))
-    rest = paired.filter("NOT _bal AND _known").select(*rows.columns)
-    close = nearest(rest, anchors.withColumnRenamed("_at", on), ["base_key"], on, "_o", window).filter("near__o IS NOT NULL")
-    best = close.withColumn("_r", F.row_number().over(Window.partitionBy("point", "base_key", "near__o").orderBy("gap", on, row))).filter("_r = 1")
-    lone = paired.filter("NOT _known").select("point", row, F.col("occurrence").alias("_match"))
-    matched = level.unionByName(best.select("point", row, F.col("near__o").alias("_match"))).unionByName(lone)
-    out = rows.join(matched, ["point", row], "left")
+    kept = [F.col(c) for c in rows.columns]
+    settled = paired.filter("_bal OR NOT _known").select(*kept, F.col("occurrence").alias("_match"))
+    rest = paired.filter("NOT _bal AND _known").select(*kept)
+    close = nearest(rest, anchors.withColumnRenamed("_at", on), ["base_key"], on, "_o", window)
+    order = F.row_number().over(Window.partitionBy("point", "base_key", "near__o").orderBy("gap", on, row))
+    placed = close.withColumn("_r", order).select(*kept, F.when(F.col("_r") == 1, F.col("near__o")).alias("_match"))
+    apart = rows.filter("NOT eligible").select(*kept, F.lit(None).cast("long").alias("_match"))
+    out = settled.unionByName(placed).unionByName(apart)
     collided = F.col("eligible") & F.col("_match").isNull()
     return out.select(
         *[c for c in rows.columns if c != "eligible"], F.md5(F.concat_ws("|", "base_key", F.coalesce(F.col("_match"), F.lit(0)).cast("string"))).alias("packet_key"),
