@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -163,8 +163,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Two texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more.
     Equal texts are one node. Whole-text fingerprints of such pairs differ in too many bits for the index to
     guarantee, so each text has a fingerprint for each of several parts of its shingles. Equal and nearly
-    equal ones are linked by the byte-position index; documents that meet there are compared, each
-    with the smallest and the largest id, on whole sets. So a pair is missed if it agrees in no part,
+    equal ones are linked by the byte-position index; documents that meet there are compared on whole sets:
+    all pairs of up to PAIR_LIST documents, and in longer meetings all that other links do not join yet
+    (``_link_long``). So a pair is missed only if it agrees in no part,
     under one in twenty at 0.8 and fewer above, and each link is exact. Documents without words are alike. Rows with
     equal ids are one document; null ids are left out.
     """
@@ -182,11 +183,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     shown = copies.select(F.col("first").alias("doc_id"), F.explode("fps").alias("fp")).checkpoint()
     near = connected_components(links(shown.select("fp").distinct())).withColumnRenamed("node", "fp")
     shown = shown.join(near, "fp", "left").select("doc_id", F.coalesce("component", "fp").alias("at"))
+    shown = shown.distinct().checkpoint()
     ends = shown.groupBy("at").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    met = hot_join(shown, ends, "at", "n", shown.count(), "inner")
-    pairs = met.select("doc_id", F.explode(F.array("low", "high")).alias("other")).filter("doc_id != other")
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().checkpoint()
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().withColumn("h", F.xxhash64("doc_id")).checkpoint()
+    met = hot_join(shown, ends, "at", "n", shown.count(), "inner").checkpoint()
+    asked = met.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).checkpoint()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
@@ -197,7 +197,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     wanted = with_bit(docs.withColumn("h", F.xxhash64("doc_id")), "h", bit_filter(asked, "h", asked.count()))
     wanted = wanted.join(asked.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, shingles binary")
     wanted = materialise(wanted.dropDuplicates(["doc_id"]), "shingle-sets")
-    both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    sizes = wanted.select("doc_id", (F.length("shingles") / 4).cast("long").alias("size"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,12 +208,95 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    linked = both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}")
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs``, a < b and each once, whose whole sets are alike."""
+        both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+        return both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}").checkpoint()
+
+    few = met.filter(F.col("n") <= PAIR_LIST).join(sizes, "doc_id").select("at", "doc_id", "size")
+    pairs = few.withColumnsRenamed({"doc_id": "a", "size": "na"}).join(few.withColumnsRenamed({"doc_id": "b", "size": "nb"}), "at")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & _like_sizes("na", "nb", similarity)).select("a", "b")
+    many = met.filter(F.col("n") > PAIR_LIST).checkpoint()
+    linked = similar(pairs.union(_pivot_pairs(many, F.array("low", "high"))).distinct())
     equal = hot_join(signed.select("doc_id", "same"), copies.filter("copies > 1").select("same", "first", "copies"), "same", "copies", signed.count(), "inner")
     edges = linked.union(equal.select("first", "doc_id"))
+    if not many.isEmpty():
+        edges = edges.union(_link_long(many.select("at", "doc_id", "n").join(sizes, "doc_id").checkpoint(), linked, wanted, similar, similarity))
     return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")).filter("doc_id != component_id")
 
 
+def _like_sizes(a: str, b: str, similarity: float) -> Column:
+    """Sets of other sizes can't reach the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
+
+
+def _pivot_pairs(members: DataFrame, pivots: Column) -> DataFrame:
+    """(a, b): each member with each of its row's pivots."""
+    pairs = members.select("doc_id", F.explode(pivots).alias("other")).filter("doc_id != other")
+    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+
+
+def _link_long(members: DataFrame, linked: DataFrame, wanted: DataFrame, similar: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a, b): links that join what any two similar members of a meeting join. ``members`` has at, doc_id, n and size.
+
+    Members already joined need no comparison. So each round compares, per meeting, the member with the most
+    links so far (an original among its edited copies) and the one with the most outside the meeting's
+    first component with all members that are not joined to them. When rounds no longer join a tenth of what is
+    apart, all pairs that are still apart are compared whose sets can be alike: those that share one
+    of their rarest shingles (a prefix filter, which loses no pair).
+    """
+    done, last = linked, None
+    pivots = None
+    while True:
+        found = connected_components(done, "a", "b").withColumnRenamed("node", "doc_id")
+        named = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).checkpoint()
+        groups = named.groupBy("at").agg(F.min("component").alias("least"), F.max("component").alias("_most")).filter("least != _most").drop("_most")
+        apart = hot_join(named, groups.join(members.groupBy("at").agg(F.first("n").alias("_n")), "at"), "at", "_n", members.count(), "inner").drop("_n").checkpoint()
+        left = apart.select("at", "component").distinct().count()
+        if not left:
+            return done
+        if last is not None and left > 0.9 * last:
+            break
+        last = left
+        ends = done.select(F.col("a").alias("doc_id")).union(done.select("b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_links"))
+        ranked = apart.join(ends, "doc_id", "left").withColumn("_key", F.struct(F.coalesce("_links", F.lit(0)).alias("l"), "doc_id", "component"))
+        if pivots is not None:
+            ranked = ranked.join(pivots, ["at", "doc_id"], "left_anti")
+        best = ranked.groupBy("at").agg(F.array_compact(F.array_distinct(F.array(F.max("_key"), F.max(F.when(F.col("component") != F.col("least"), F.col("_key")))))).alias("_best"), F.first("n").alias("_n")).checkpoint()
+        used = best.select("at", F.explode("_best.doc_id").alias("doc_id"))
+        pivots = used if pivots is None else pivots.union(used)
+        tried = hot_join(apart, best, "at", "_n", apart.count(), "inner").withColumn("_best", F.filter("_best", lambda x: x["component"] != F.col("component")))
+        done = done.union(similar(_pivot_pairs(tried, F.col("_best.doc_id")).distinct())).distinct().checkpoint()
+    return done.union(similar(_prefix_pairs(apart.select("at", "doc_id", "component", "size"), wanted, similarity)))
+
+
+def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of members of a meeting in two components that share one of their rarest shingles.
+
+    Sets of which ``similarity`` of the larger is common share one at least of the rarest in the meeting that
+    exceed the rest of each set; sets without shingles share the shingle -1.
+    """
+    kind = wanted.schema["doc_id"].dataType.simpleString()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1):
+            out = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) if len(x.as_py()) else np.array([-1]) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "tokens"])
+
+    tokens = wanted.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(unpack, f"doc_id {kind}, tokens array<bigint>")
+    rows = members.join(tokens, "doc_id").select("at", "doc_id", "component", "size", F.explode("tokens").alias("token"))
+    rows = materialise(rows, "meeting-shingles")
+    shared = rows.groupBy("at", "token").agg(F.count(F.lit(1)).alias("f"))
+    sets = rows.join(shared, ["at", "token"]).groupBy("at", "doc_id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
+    length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
+    rare = sets.select("at", "doc_id", "component", "size", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("x")).filter("x.f > 1")
+    rare = materialise(rare.select("at", "doc_id", "component", "size", "x.token"), "rare-shingles")
+    left = rare.withColumnsRenamed({"doc_id": "a", "component": "ca", "size": "na"})
+    right = rare.withColumnsRenamed({"doc_id": "b", "component": "cb", "size": "nb"})
+    pairs = left.join(right, ["at", "token"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like_sizes("na", "nb", similarity))
+    return pairs.select("a", "b").distinct()
+
+
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the documents that ``similar_documents`` joins to a smaller doc_id; rows with null ids stay."""
     gone = similar_documents(docs, shingle, similarity).select("doc_id", F.xxhash64("doc_id").alias("_h")).checkpoint()

@@ -61,3 +61,57 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
     assert sorted(r.h for r in simhash.drop_similar(docs).collect()) == ["b", "c", "d", "f", "g", "g"]
     assert simhash.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_variants_of_an_original_in_the_middle(spark):
+    """Variants are alike their original only, which is neither the smallest nor the largest id of the meeting."""
+    rng = random.Random(5)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+    rows = [(150, " ".join(original))]
+    for k in [*range(150), *range(151, 301)]:
+        words = list(original)
+        for at in rng.sample(range(2, 302), 5):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    near = brute(rows, 0.8)
+    assert len(near) == 300
+    # Unlike documents in one long meeting with the variants: all share a block of a third of their words.
+    block = [f"c{k}" for k in range(100)]
+    for k in range(100):
+        own = [f"x{k // 2}_{j}" for j in range(200)]
+        own[k % 2 * 7] = "changed"
+        rows.append((1000 + k, " ".join(block + own)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute(rows, 0.8)
+    assert set(got) <= set(want)
+    assert len(got) >= 0.98 * len(want)
+    missed = [i for i in near if i not in got]
+    assert len(missed) <= 0.02 * len(near)
+
+
+def test_long_meetings_lose_no_pair(spark):
+    """All documents meet in one place: chains, stars and unlike ones are joined as all pairs join them."""
+    rng, rows, k = random.Random(9), [], 0
+    for _ in range(40):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(60)]
+        for _ in range(rng.randint(1, 5)):
+            words = list(base)
+            for at in rng.sample(range(60), rng.randint(0, 2)):
+                words[at] = f"n{k}"
+            rows.append((k, " ".join(words)))
+            k += 1
+    rng.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    names = {x: j for j, x in enumerate(sorted({x for s in sets.values() for x in s}))}
+    packed = [(i, b"".join(names[x].to_bytes(4, "little") for x in sorted(s, key=names.get))) for i, s in sets.items()]
+    wanted = spark.createDataFrame(packed, "doc_id long, shingles binary")
+    members = spark.createDataFrame([(7, i, len(rows), len(s)) for i, s in sets.items()], "at long, doc_id long, n long, size long")
+    none = spark.createDataFrame([], "a long, b long")
+
+    def similar(pairs):
+        alike = [(a, b) for a, b in pairs.collect() if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        return spark.createDataFrame(alike, "a long, b long")
+
+    edges = simhash._link_long(members, none, wanted, similar, 0.8)
+    found = {r.node: r.component for r in simhash.connected_components(edges, "a", "b").collect() if r.node != r.component}
+    assert found == brute(rows, 0.8)
