@@ -15,7 +15,7 @@ _RANGES = """rg AS (SELECT flow, point, packet_key, len, seq AS lo, least(seq +
 
 
 def _cut(obs: DataFrame) -> DataFrame:
-    rows = obs.filter("direction = 'forward' AND flow < 40")
+    rows = obs.filter("direction = 'forward'")
     return ranges.atom_rows(ranges.intervals(rows, "seq", F.col("len"), ["flow", "point", "packet_key"]), ["flow"], ["point", "packet_key"])
 
 
