@@ -124,7 +124,7 @@ portable("field_changes", """WITH p AS (SELECT a.packet_key, a.direction, a.hop,
   SELECT packet_key, hop, field, before, after FROM (SELECT packet_key, hop, 'ttl' AS field, ta AS before, tb AS after FROM p UNION ALL SELECT packet_key, hop, 'dscp', da, db FROM p UNION ALL SELECT packet_key, hop, 'len', la, lb FROM p) WHERE before <> after""")
 def field_diff(obs: DataFrame) -> DataFrame:
     """Field by field, what differs between neighbouring appearances."""
-    rows = obs.filter("flow < 20").selectExpr("packet_key", "hop", "stack(3, 'ttl', CAST(ttl AS BIGINT), 'dscp', CAST(dscp AS BIGINT), 'len', len) AS (field, value)")
+    rows = obs.selectExpr("packet_key", "hop", "stack(3, 'ttl', CAST(ttl AS BIGINT), 'dscp', CAST(dscp AS BIGINT), 'len', len) AS (field, value)")
     after = rows.select("packet_key", (F.col("hop") - 1).alias("hop"), "field", F.col("value").alias("after"))
     return rows.withColumnRenamed("value", "before").join(after, ["packet_key", "hop", "field"]).filter("before <> after")
 

@@ -56,3 +56,12 @@ def test_recoveries_of_all_flows(spark, folder, obs):
             want[r.packet_key] = "unknown" if len(again) > 1 else "recovered" if True in again else "missing"
     got = {r.packet_key: r.state for r in QUERIES["range_recoveries"](spark, folder).collect()}
     assert got == want and len(set(want.values())) > 1
+
+
+def test_field_changes_of_all_flows(spark, folder, obs):
+    at = defaultdict(list)
+    for r in obs:
+        at[r.packet_key, r.hop].append(r)
+    want = [(a.packet_key, a.hop, f, a[f], b[f]) for (key, hop), rows in at.items() for a in rows for b in at.get((key, hop + 1), []) for f in ("ttl", "dscp", "len") if a[f] != b[f]]
+    got = [(r.packet_key, r.hop, r.field, r.before, r.after) for r in QUERIES["field_diff"](spark, folder).collect()]
+    assert want and sorted(got) == sorted(want)
