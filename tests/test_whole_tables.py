@@ -65,3 +65,27 @@ def test_field_changes_of_all_flows(spark, folder, obs):
     want = [(a.packet_key, a.hop, f, a[f], b[f]) for (key, hop), rows in at.items() for a in rows for b in at.get((key, hop + 1), []) for f in ("ttl", "dscp", "len") if a[f] != b[f]]
     got = [(r.packet_key, r.hop, r.field, r.before, r.after) for r in QUERIES["field_diff"](spark, folder).collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_sessions_of_all_events(spark, folder):
+    """Streams that share keys in any event are one session; every stream has a row."""
+    from pyspark.sql import functions as F
+
+    few = folder + "/few"
+    # Few events, so that not all streams are joined; most ids are no multiple of five.
+    spark.read.parquet(f"{folder}/events.parquet").filter("event_id % 67 < 3").withColumn("props", F.format_string('{"k": %d}', F.col("event_id") % 67)).write.parquet(f"{few}/events.parquet")
+    events = observations.micro_events(spark.read.parquet(f"{few}/events.parquet")).collect()
+    parent = {e.flow: e.flow for e in events}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    first = {}
+    for e in events:
+        lo, hi = sorted((root(e.flow), root(first.setdefault(e.k * 1000 + e.event_id % 40, e.flow))))
+        parent[hi] = lo
+    got = {r.stream: r.session for r in QUERIES["linked_sessions"](spark, few).collect()}
+    assert got == {f: root(f) for f in parent}
+    assert len(got) == 12 and len(set(got.values())) > 1
