@@ -35,6 +35,17 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def pack(rows: DataFrame, *names: str, leave: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``names`` and, as the struct row, all columns but those in ``leave``: the caller's names clash with none of ours."""
+    held = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in leave])
+    return rows.select(*[F.col(f"`{n}`") for n in names], held.alias("row"))
+
+
+def unpack(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The caller's ``columns`` out of the struct row, then ``more``."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], *more)
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], count: str, rows: int, how: str = "left") -> DataFrame:
     """Join ``right``, one row per key, where ``count`` is the number of left rows of the key.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import pack, unit_hash, unpack
 
 #: Documents of one source that a single task ranks.
 CHUNK_ROWS = 20_000
@@ -49,38 +49,38 @@ def mix(
     Every document of a source is expected target / source_size times. The expected copies are
     summed along an order of the source's documents, one random offset a source is added, and a
     document is emitted once for each integer that its span crosses. The order goes by chunks of a
-    hash of doc_id, inside a chunk by size: no task ranks much over CHUNK_ROWS documents, however
+    hash of doc_id and size, inside a chunk by size: no task ranks much over CHUNK_ROWS documents, however
     many a source has, and neighbours have like sizes, so the taken words come near the target.
 
     Null sources are one source, the last. Null sizes and texts count zero. Rows with equal doc_id
     are separate documents. An empty table gives an empty mix. The result is the same in every run.
     """
     chunks = max(1, -(-docs.count() // CHUNK_ROWS))
-    h = unit_hash(F.col("doc_id"))
     names = [c for c in docs.columns if c not in ("mix_size", "source_size", "target", "copies")]
-    rows = docs.select(*names, F.coalesce(size, F.lit(0)).cast("long").alias("mix_size"), h.alias("_h"), F.pmod(h, F.lit(chunks)).alias("_chunk"))
-    part = Window.partitionBy("source", "_chunk")
+    held = pack(docs.withColumn("mix_size", F.coalesce(size, F.lit(0)).cast("long")), "doc_id", "source", "mix_size", leave=("mix_size", "source_size", "target", "copies"))
+    rows = held.withColumn("h", unit_hash(F.col("doc_id"), F.col("mix_size"))).withColumn("chunk", F.pmod("h", F.lit(chunks)))
+    part = Window.partitionBy("source", "chunk")
     ranked = (
-        rows.withColumn("_rank", F.row_number().over(part.orderBy("mix_size", "_h", F.col("doc_id").asc_nulls_last())).cast("long"))
-        .withColumn("_rows", F.count(F.lit(1)).over(part))
-        .withColumn("_words", F.sum("mix_size").over(part))
+        rows.withColumn("rank", F.row_number().over(part.orderBy("mix_size", "h", F.col("doc_id").asc_nulls_last())).cast("long"))
+        .withColumn("rows", F.count(F.lit(1)).over(part))
+        .withColumn("words", F.sum("mix_size").over(part))
     )
     # The last row of each chunk has the chunk's totals; the exchange of the ranking is reused.
-    totals = ranked.filter(F.col("_rank") == F.col("_rows")).select("source", "_chunk", "_rows", "_words")
-    sizes = totals.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    totals = ranked.filter(F.col("rank") == F.col("rows")).select("source", "chunk", "rows", "words")
+    sizes = totals.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
-    ahead = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("ahead", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     t, o, r = targets.alias("t"), offsets.alias("o"), ranked.alias("r")
-    plan = o.join(t, F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o._chunk", "_ahead", "source_size", "target")
-    joined = r.join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r._chunk") == F.col("p._chunk")))
+    plan = o.join(t, F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o.chunk", "ahead", "source_size", "target")
+    joined = r.join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.chunk") == F.col("p.chunk")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # A multiple of 2^-16, so that whole expected copies stay whole in floating point.
     start = F.floor(unit_hash(F.lit(seed), F.col("r.source")) / F.lit(65536)) / F.lit(65536.0)
-    place = F.col("_ahead") + F.col("_rank")
+    place = F.col("ahead") + F.col("rank")
     crossed = F.floor(start + each * place) - F.floor(start + each * (place - 1))
     copies = F.least(crossed, F.ceil(each)).cast("long")
-    return joined.select(*[F.col(f"r.`{c}`") for c in names], "mix_size", "source_size", "target", copies.alias("copies"))
+    return unpack(joined, names, "mix_size", "source_size", "target", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

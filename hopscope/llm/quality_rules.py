@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, pack, unpack
 
 #: Statistics of a text, in this order.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -47,19 +47,19 @@ def measure(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words: all measures are 0. Windows are compared by 64-bit hashes of
     word hashes within one text only. Columns of these names that ``docs`` has are replaced.
     """
+    columns = docs.drop(*MEASURES).columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    rows = docs.drop(*MEASURES).withColumns(
-        {"_hash": F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), "_lines": lines}
-    )
-    return rows.select(
-        *docs.drop(*MEASURES).columns,
-        F.size("_hash").cast("long").alias("n_words"),
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    rows = pack(docs.select(*[F.col(f"`{c}`") for c in columns]), "text").withColumns({"hashes": words, "lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))})
+    return unpack(
+        rows,
+        columns,
+        F.size("hashes").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words("_hash").cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        _repeat_words("hashes").cast("long").alias("n_repeat_words"),
+        F.size("lines").cast("long").alias("n_lines"),
     )
 
 
@@ -106,10 +106,11 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     kept is false if the base rules fail, or any rule's score is above its stratum's cutoff.
     """
     cut = F.broadcast(cutoffs) if cutoffs.count() <= BROADCAST_STRATA else cutoffs
-    rows = measured.drop("base_failed", "kept").withColumn("base_failed", F.expr(BASE_FAILED))
-    joined = rows.join(cut, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+    columns = [c for c in measured.columns if c not in ("base_failed", "kept")]
+    rows = pack(measured.select(*[F.col(f"`{c}`") for c in columns]), *MEASURES).withColumn("base_failed", F.expr(BASE_FAILED))
+    joined = rows.join(cut, F.col(f"row.`{stratum}`").eqNullSafe(F.col("stratum")), "left")
     over = F.lit(False)
     for rule, score in RULES.items():
         over = over | F.coalesce(F.expr(f"{score} > max_{rule}"), F.lit(False))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~over)
-    return joined.select(*rows.columns, kept.alias("kept"))
+    return unpack(joined, columns, "base_failed", kept.alias("kept"))
