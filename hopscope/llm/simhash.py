@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, combinations
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from .common import LOWER, UPPER, bit_filter, by_bytes, hot_join, small_batches,
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
-#: Posting lists up to this length give pairs; longer ones are linked through midpoints.
+#: Posting lists up to this length give pairs; longer ones are split by further positions.
 PAIR_LIST = 64
 
 
@@ -65,51 +66,59 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _byte(fp: str | Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
-
-
-def _shared_bytes(a: str, b: str) -> Column:
-    """The tally: in how many of the 8 positions both have the same byte."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return sum((F.when(_byte(x, k) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+def _masked(fp: Column, positions: Column, masks: dict[int, int]) -> Column:
+    """The bytes of ``fp`` at ``positions`` (a bit each), the others zero."""
+    table = F.array(*[F.lit(masks[p]) for p in range(256)])
+    return fp.bitwiseAND(F.element_at(table, positions.cast("int") + 1))
 
 
 def links(fps: DataFrame, bits: int = 2, pair_list: int = PAIR_LIST) -> DataFrame:
     """(src, dst): edges whose components are those of all pairs of ``fps`` that differ in ``bits`` bits or fewer.
 
-    ``fps`` has distinct fp. Differing in ``bits`` bits, two fingerprints share at least 8 - bits bytes
-    at their positions. The positions are cut into bits + 2 groups, of which two stay whole, so an
-    inverted index with a posting list for each two groups' bytes meets every such pair. Pairs of a
-    list are tallied by shared positional bytes, kept from 8 - bits on, and verified.
+    ``fps`` has distinct fp. Differing in ``bits`` bits, two fingerprints share at least need = 8 - bits bytes
+    at their positions. The inverted index has a posting list for each choice of positions and the bytes there:
+    at first of so few positions that lists are short by chance. Lists longer than ``pair_list`` are split by
+    each further position. Short ones give pairs with their positions; per pair the positions are tallied over all
+    lists, and pairs that reach ``need`` of them are verified. No pair is lost: of the positions that it shares,
+    each is in some list that the pair is in, and a list is only split, never left out.
 
-    In lists longer than ``pair_list`` pairs would grow with the square. Each fingerprint there is sent to
-    all points at half the distance instead; two meet at a point exactly if they differ in ``bits``
-    bits or fewer, at most 65 (for 2 bits) share one, and all are linked to the smallest. Nothing is capped.
+    Lists of ``need`` positions are split no more. Their members have only 8 * bits free bits (65,536 members
+    for 2 bits), and those of long ones are linked through the points at half the distance: two share one exactly if
+    they differ in ``bits`` bits or fewer, at most 17 (for 2 bits) share one, and all are linked to the smallest.
     """
     if bits not in (2, 4):
         raise ValueError("bits is 2 or 4")
-    groups = np.array_split(range(8), bits + 2)
-    lists = []
-    for slot, (i, j) in enumerate(combinations(range(len(groups)), 2)):
-        mask = sum(255 << 8 * int(k) for k in (*groups[i], *groups[j]))
-        lists.append(F.struct(F.lit(slot).alias("slot"), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("key")))
-    posted = fps.select("fp", F.explode(F.array(*lists)).alias("p")).select("fp", "p.slot", "p.key")
-    sized = posted.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = posted.join(sized, ["slot", "key"]).checkpoint()
-    short = met.filter(F.col("n") <= pair_list)
-    pairs = short.select("slot", "key", F.col("fp").alias("src")).join(short.select("slot", "key", F.col("fp").alias("dst")), ["slot", "key"])
-    pairs = pairs.filter((F.col("src") < F.col("dst")) & (_shared_bytes("src", "dst") >= 8 - bits))
-    pairs = pairs.filter(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits).select("src", "dst")
-    flips = [1 << k for k in range(64)]
-    if bits == 4:
-        flips += [a | b for a, b in combinations(flips, 2)]
-    flips = F.array(*[F.lit(f - (f >> 63 << 64)) for f in (0, *flips)])
-    long = met.filter(F.col("n") > pair_list).select("fp").distinct()
-    meeting = long.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("mid"))
-    stars = meeting.groupBy("mid").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
-    stars = stars.select(F.array_min("all").alias("src"), F.explode("all").alias("dst")).filter("src != dst")
-    return pairs.union(stars).distinct()
+    need, n, start = 8 - bits, fps.count(), 1
+    while start < need and n >> 8 * start > pair_list // 32:
+        start += 1
+    signed = lambda m: m - (m >> 63 << 64)
+    masks = {p: signed(sum(255 << 8 * k for k in range(8) if p >> k & 1)) for p in range(256)}
+    first = F.array(*[F.struct(F.lit(p).alias("positions"), F.col("fp").bitwiseAND(F.lit(masks[p])).alias("key")) for p in range(256) if p.bit_count() == start])
+    lists = fps.select("fp", F.explode(first).alias("p")).select("fp", "p.positions", "p.key")
+    met_pairs, stars = [], None
+    for size in range(start, need + 1):
+        sized = lists.groupBy("positions", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        met = lists.join(sized, ["positions", "key"]).checkpoint()
+        short, long = met.filter(F.col("n") <= pair_list), met.filter(F.col("n") > pair_list)
+        pairs = short.select("positions", "key", F.col("fp").alias("src")).join(short.select("positions", "key", F.col("fp").alias("dst")), ["positions", "key"])
+        met_pairs.append(pairs.filter("src < dst").select("src", "dst", "positions"))
+        if size == need:
+            free = [F.when(F.col("positions").bitwiseAND(F.lit(1 << k // 8)) == 0, F.lit(signed(1 << k))) for k in range(64)]
+            flips = F.array_compact(F.array(F.lit(0).cast("long"), *free))
+            if bits == 4:
+                flips = F.flatten(F.transform(flips, lambda x: F.transform(flips, lambda y: x.bitwiseXOR(y))))
+            points = F.transform(F.array_distinct(flips), lambda f: F.col("fp").bitwiseXOR(f))
+            meeting = long.select("fp", "positions", F.explode(points).alias("mid")).groupBy("positions", "mid").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
+            stars = meeting.select(F.array_min("all").alias("src"), F.explode("all").alias("dst")).filter("src != dst")
+        elif not long.isEmpty():
+            more = F.explode(F.filter(F.array(*[F.lit(1 << k) for k in range(8)]), lambda x: F.col("positions").bitwiseAND(x) == 0))
+            split = long.select("fp", "positions", more.alias("further")).select("fp", F.col("positions").bitwiseOR(F.col("further")).alias("positions")).distinct()
+            lists = split.select("fp", "positions", _masked(F.col("fp"), F.col("positions"), masks).alias("key"))
+        else:
+            break
+    tallied = reduce(DataFrame.union, met_pairs).groupBy("src", "dst").agg(F.bit_or("positions").alias("shared")).filter(F.bit_count("shared") >= need)
+    found = tallied.filter(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits).select("src", "dst")
+    return (found.union(stars) if stars is not None else found).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
@@ -128,16 +137,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     return hot_join(held, roots, "fp", "copies", held.count()).select("doc_id", "fp", "component_id")
 
 
-#: Of the parts of a text's shingles at one level, those whose fingerprints are linked.
-PARTS = 8
+#: Of the parts of a text's shingles at one level, those that are posted: which depends on hashes only.
+PARTS = 32
 
 
 def part_fingerprints(hashes: np.ndarray) -> np.ndarray:
     """SimHash fingerprints of parts of a set of shingle hashes: texts that share most shingles share whole parts.
 
     At level e a shingle belongs to the part that e bits of its hash name. The levels are those with
-    4 to 8 and with 2 to 4 shingles a part, so that two texts of like size have one at least in common; PARTS
-    parts of each are used, those of under two shingles only in texts of few.
+    4 to 8 and with 2 to 4 shingles a part, so that two texts of like size have one at least in common. Parts
+    are positions: a fingerprint is mixed with its level and part, so that only the same part of two texts meets.
+    PARTS parts of each level are used (all of texts under 64 to 128 shingles), those of under two shingles only in texts of few.
     """
     size, out = len(hashes), []
     level = max(0, int(np.floor(np.log2(max(size, 1) / 8))) + 1)
@@ -152,40 +162,35 @@ def part_fingerprints(hashes: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(hashes[use].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
         sizes = np.diff(heads, append=len(use))
-        fps = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
-        out.append(fps[(sizes > 1) | (size < 4)])
+        fps = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        fps = fps ^ ((part[use][heads] + np.uint64(e << 32)) * np.uint64(0xD6E8FEB86659FD93))
+        out.append(fps[(sizes > 1) | (size < 4)].view(np.int64))
     return np.unique(np.concatenate(out)) if out else np.zeros(1, np.int64)
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of documents that a chain of similar ones joins to a smaller doc_id.
-
-    Two texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more.
-    Equal texts are one node. Whole-text fingerprints of such pairs differ in too many bits for the index to
-    guarantee, so each text has a fingerprint for each of several parts of its shingles. Equal and nearly
-    equal ones are linked by the byte-position index; documents that meet there are compared on whole sets:
-    all pairs of up to PAIR_LIST documents, and in longer meetings all that other links do not join yet
-    (``_link_long``). So a pair is missed only if it agrees in no part,
-    under one in twenty at 0.8 and fewer above, and each link is exact. Documents without words are alike. Rows with
-    equal ids are one document; null ids are left out.
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(text_id, component) of the texts that a chain of similar ones joins to another; component is the smallest text_id reachable.
+
+    ``texts`` has text_id and text, equal ids with equal texts. Two texts are linked if their sets of word shingles
+    have a Jaccard similarity of ``similarity`` or more. Whole-text fingerprints of such pairs differ in too many bits
+    for byte positions to guarantee, so the positions of the inverted index are parts of the shingles (``part_fingerprints``),
+    and texts that share one position's fingerprint meet. Those are compared on whole sets:
+    all pairs of up to PAIR_LIST texts, and in longer meetings all that other links do not join yet
+    (``_link_long``). So each link is exact, and a pair at 0.8 is missed only if it agrees in none of 32 parts or more: under one in
+    a million. Texts without words are alike.
     """
-    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    docs = small_batches(texts).select(F.col("text_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 2):
-            fps = pa.array([part_fingerprints(np.unique(_hashes(t.as_py(), shingle))) for t in batch.column(2)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps], ["doc_id", "same", "fps"])
-
-    signed = docs.select("doc_id", F.md5("text").alias("same"), "text").mapInArrow(parts, f"doc_id {kind}, same string, fps array<bigint>")
-    signed = materialise(signed, "parts")
-    copies = signed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("fps").alias("fps")).checkpoint()
-    shown = copies.select(F.col("first").alias("doc_id"), F.explode("fps").alias("fp")).checkpoint()
-    near = connected_components(links(shown.select("fp").distinct())).withColumnRenamed("node", "fp")
-    shown = shown.join(near, "fp", "left").select("doc_id", F.coalesce("component", "fp").alias("at"))
-    shown = shown.distinct().checkpoint()
-    ends = shown.groupBy("at").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    met = hot_join(shown, ends, "at", "n", shown.count(), "inner").checkpoint()
+        for batch in by_bytes(batches, 1):
+            fps = pa.array([part_fingerprints(np.unique(_hashes(t.as_py(), shingle))) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fps"])
+
+    signed = docs.mapInArrow(parts, f"doc_id {kind}, fps array<bigint>").groupBy("doc_id").agg(F.first("fps").alias("fps"))
+    shown = materialise(signed.select("doc_id", F.explode("fps").alias("at")), "parts")
+    sized = shown.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialise(hot_join(shown, sized.checkpoint(), "at", "n", shown.count(), "inner"), "meetings")
     asked = met.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).checkpoint()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +222,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     pairs = few.withColumnsRenamed({"doc_id": "a", "size": "na"}).join(few.withColumnsRenamed({"doc_id": "b", "size": "nb"}), "at")
     pairs = pairs.filter((F.col("a") < F.col("b")) & _like_sizes("na", "nb", similarity)).select("a", "b")
     many = met.filter(F.col("n") > PAIR_LIST).checkpoint()
-    linked = similar(pairs.union(_pivot_pairs(many, F.array("low", "high"))).distinct())
-    equal = hot_join(signed.select("doc_id", "same"), copies.filter("copies > 1").select("same", "first", "copies"), "same", "copies", signed.count(), "inner")
-    edges = linked.union(equal.select("first", "doc_id"))
     if not many.isEmpty():
-        edges = edges.union(_link_long(many.select("at", "doc_id", "n").join(sizes, "doc_id").checkpoint(), linked, wanted, similar, similarity))
-    return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")).filter("doc_id != component_id")
+        ends = many.groupBy("at").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"))
+        pairs = pairs.union(_pivot_pairs(hot_join(many.select("at", "doc_id"), ends, "at", "n", many.count(), "inner"), F.array("low", "high")))
+    edges = similar(pairs.distinct())
+    if not many.isEmpty():
+        edges = _link_long(many.select("at", "doc_id", "n").join(sizes, "doc_id").checkpoint(), edges, wanted, similar, similarity)
+    return connected_components(edges, "a", "b").withColumnRenamed("node", "text_id")
 
 
 def _like_sizes(a: str, b: str, similarity: float) -> Column:
@@ -297,11 +303,48 @@ def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> D
     return pairs.select("a", "b").distinct()
 
 
+def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the id of each row's text, and a row per text: its component, its best row and how many rows it has.
+
+    The best row has the smallest doc_id, null after all others, and of rows with one id the least hash of the other columns.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text") and "map<" not in docs.schema[c].dataType.simpleString()]
+    place = F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in others])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("text_id"), place.alias("place"))
+    keys = rows.groupBy("text_id", "row.doc_id", "place").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "place", "n")).alias("best")
+    texts = keys.groupBy("text_id").agg(best, F.sum("n").alias("copies")).checkpoint()
+    found = similar_texts(rows.select("text_id", F.col("row.text").alias("text")), shingle, similarity)
+    return rows, texts.join(found, "text_id", "left").withColumn("component", F.coalesce("component", "text_id")).checkpoint()
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: component_id is the smallest doc_id that similar texts reach.
+
+    Rows with equal texts are one node, whatever their ids; rows with one id and different texts are separate. Null texts are
+    empty; texts without words are alike; component_id is null if all ids of a class are. Empty tables give no rows.
+    """
+    rows, texts = _classes(docs, shingle, similarity)
+    least = texts.groupBy("component").agg(F.min("best.doc_id").alias("component_id"))
+    named = texts.join(least, "component").select("text_id", "component_id", "copies").checkpoint()
+    return hot_join(rows.select("text_id", "row.doc_id"), named, "text_id", "copies", rows.count()).select("doc_id", "component_id")
+
+
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that ``similar_documents`` joins to a smaller doc_id; rows with null ids stay."""
-    gone = similar_documents(docs, shingle, similarity).select("doc_id", F.xxhash64("doc_id").alias("_h")).checkpoint()
-    bits = bit_filter(gone, "_h", gone.count())
-    rows = docs.withColumn("_h", F.xxhash64("doc_id"))
-    # Only rows that may go are shuffled.
-    rest = with_bit(rows, "_h", bits).join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    return with_bit(rows, "_h", bits, False).select(*docs.columns).unionByName(rest)
+    """One row of ``docs`` for each class of similar texts, with all its columns.
+
+    The row with the smallest doc_id stays, null after all others; of several such rows one. Rows are judged by their text:
+    one id may stand for several texts, and copies with null ids go as well. Links are those of ``similar_texts``.
+    """
+    rows, texts = _classes(docs, shingle, similarity)
+    first = texts.groupBy("component").agg(F.min(F.struct("best.void", "best.doc_id", "text_id")).alias("first")).select("first.text_id")
+    alone = texts.join(first, "text_id", "left_semi").select(F.col("text_id").alias("id"), F.col("best.doc_id").alias("best_id"), F.col("best.place").alias("best_place"), F.col("best.n").alias("n"), "copies").checkpoint()
+    gone = texts.select("text_id").join(first, "text_id", "left_anti").union(alone.filter("copies > 1").select("id")).withColumn("h", F.xxhash64("text_id")).checkpoint()
+    bits = bit_filter(gone, "h", gone.count())
+    hashed = rows.withColumn("h", F.xxhash64("text_id"))
+    # Only rows that may go are shuffled; of those, equal rows are told apart by nothing and one is taken.
+    maybe = with_bit(hashed, "h", bits)
+    kept = hot_join(maybe.withColumn("id", F.col("text_id")), alone, "id", "copies", rows.count(), "inner")
+    kept = kept.filter(F.col("row.doc_id").eqNullSafe(F.col("best_id")) & (F.col("place") == F.col("best_place")))
+    once, more = kept.filter("n = 1").select("row"), kept.filter("n > 1").groupBy("text_id").agg(F.first("row").alias("row")).select("row")
+    return with_bit(hashed, "h", bits, False).select("row.*").unionByName(once.select("row.*")).unionByName(more.select("row.*"))
