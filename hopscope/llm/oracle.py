@@ -7,7 +7,7 @@ SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 OP2 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-    CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM documents),
+    CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM documents),
 c AS (SELECT *, h % CAST((SELECT greatest(1, ceil(count(*) / 20000.0)) FROM documents) AS BIGINT) AS chunk FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM c GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
@@ -86,28 +86,31 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
-def _template_tree(depth: int = 3, min_rows: int = 5, z: float = 3.0) -> str:
-    """One step a level: the segments of a template's urls that stay branches, the others become a wildcard."""
+def _template_tree(levels: int = 5, min_rows: int = 5, z: float = 3.0, smoothing: float = 10.0) -> str:
+    """The levels of the tree: r has the open rows with their template's counts and purity, e what ended at a level."""
     steps = []
-    for k in range(1, depth + 2):
-        up, keys = f"t{k - 1}", ", ".join(f"s{j}" for j in range(1, depth + 2))
-        older = ", ".join(f"r.t{j}" for j in range(k))
-        steps.append(f"""c{k} AS (SELECT host, {up}, s{k}, sum(n) AS cn, sum(l) AS cl, sum(b) AS cb FROM r{k - 1} GROUP BY ALL),
-w{k} AS (SELECT host, {up}, sum(cl) AS pl, sum(cb) AS pb FROM c{k} GROUP BY ALL),
-q{k} AS (SELECT c{k}.*, pl - cl AS rl, pb - cb AS rb, CAST(pb AS DOUBLE) / nullif(pl, 0) AS share FROM c{k} JOIN w{k} USING (host, {up})),
-r{k} AS (SELECT r.host, {", ".join(f"r.s{j}" for j in range(1, depth + 2))}, r.n, r.l, r.b, {older}, r.{up} || CASE WHEN r.s{k} IS NULL THEN ''
-    WHEN cn >= {min_rows} AND coalesce(abs(CAST(cb AS DOUBLE) / nullif(cl, 0) - CAST(rb AS DOUBLE) / nullif(rl, 0)) > {z} * sqrt(share * (1 - share) * (1.0::DOUBLE / nullif(cl, 0) + 1.0::DOUBLE / nullif(rl, 0))), false)
-    THEN '/' || r.s{k} ELSE '/*' END AS t{k} FROM r{k - 1} r JOIN q{k} q ON q.host = r.host AND q.{up} = r.{up} AND q.s{k} IS NOT DISTINCT FROM r.s{k})""")
+    for k in range(1, levels + 1):
+        steps.append(f"""m{k} AS (SELECT *, coalesce(classes[{k}], '') AS seg FROM r{k - 1} WHERE len(classes) >= {k - 1} AND tl >= {min_rows} AND tb > 0 AND tb < tl),
+e{k} AS (SELECT host, classes, purity FROM r{k - 1} WHERE NOT (len(classes) >= {k - 1} AND tl >= {min_rows} AND tb > 0 AND tb < tl)),
+c{k} AS (SELECT host, up, seg, sum(n) AS cn, sum(l) AS cl, sum(b) AS cb, any_value(purity) AS above, CASE WHEN sum(n) >= {min_rows} AND sum(l) > 0 THEN CAST(round(CAST(sum(b) AS DOUBLE) * 100 / sum(l)) AS BIGINT) END AS bin FROM m{k} GROUP BY ALL),
+b{k} AS (SELECT host, up, bin, CAST(sum(cl) AS DOUBLE) AS l, CAST(sum(cb) AS DOUBLE) AS b, row_number() OVER (PARTITION BY host, up ORDER BY bin) AS i FROM c{k} WHERE bin IS NOT NULL GROUP BY host, up, bin),
+f{k} AS (SELECT host, up, bin, i, l, b, 0 AS g FROM b{k} WHERE i = 1 UNION ALL
+  SELECT host, up, bin, i, CASE WHEN fresh THEN xl ELSE l + xl END, CASE WHEN fresh THEN xb ELSE b + xb END, CASE WHEN fresh THEN g + 1 ELSE g END FROM (
+    SELECT x.host, x.up, x.bin, x.i, f.l, f.b, f.g, x.l AS xl, x.b AS xb,
+      abs(f.b / f.l - x.b / x.l) > {z} * sqrt((f.b + x.b) / (f.l + x.l) * (1 - (f.b + x.b) / (f.l + x.l)) * (1 / f.l + 1 / x.l)) AS fresh
+    FROM f{k} f JOIN b{k} x ON x.host = f.host AND x.up = f.up AND x.i = f.i + 1)),
+g{k} AS (SELECT c.*, f.g FROM c{k} c LEFT JOIN f{k} f USING (host, up, bin)),
+t{k} AS (SELECT host, up, g, sum(cl) AS tl, sum(cb) AS tb, count(*) AS k, (sum(cb) + {smoothing} * any_value(above)) / (sum(cl) + {smoothing}) AS purity FROM g{k} GROUP BY host, up, g),
+r{k} AS (SELECT m.host, m.classes, m.n, m.l, m.b, t.tl, t.tb, t.purity, m.up || '/' || CASE WHEN t.g IS NULL THEN '*' WHEN t.k = 1 THEN m.seg ELSE '*' || (t.g + 1) END AS up
+  FROM m{k} m JOIN g{k} g USING (host, up, seg) JOIN t{k} t ON t.host = g.host AND t.up = g.up AND t.g IS NOT DISTINCT FROM g.g)""")
     return ",\n".join(steps)
 
 
-def _segment(k: int) -> str:
-    bare = rf"regexp_replace(seg[{k}], '\.[A-Za-z]{{1,5}}$', '')"
-    named = rf"regexp_extract(seg[{k}], '(\.[A-Za-z]{{1,5}})$', 1)"
-    return (
-        rf"CASE WHEN regexp_matches({bare}, '^[0-9]+([-_.][0-9]+)*$') THEN '{{n}}' || {named} WHEN regexp_matches({bare}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({bare}, '[0-9]') THEN '{{h}}' || {named} "
-        rf"WHEN regexp_matches({bare}, '^[^-_]+([-_][^-_]+){{2,}}$') THEN '{{s}}' || {named} ELSE seg[{k}] END AS s{k}"
-    )
+_BARE, _ENDING = r"regexp_replace(x, '\.[A-Za-z]{1,5}$', '')", r"regexp_extract(x, '(\.[A-Za-z]{1,5})$', 1)"
+_CLASS = (
+    rf"CASE WHEN regexp_matches({_BARE}, '^[0-9]+([-_.][0-9]+)*$') THEN '{{n}}' || {_ENDING} WHEN regexp_matches({_BARE}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({_BARE}, '[0-9]') THEN '{{h}}' || {_ENDING} "
+    rf"WHEN regexp_matches({_BARE}, '^[^-_]+([-_][^-_]+){{2,}}$') THEN '{{s}}' || {_ENDING} ELSE x END"
+)
 
 
 def _fits(rule: str) -> str:
@@ -117,18 +120,18 @@ def _fits(rule: str) -> str:
 
 _RULES = (("block", "example.org/es/"), ("block", "example.org/en/1"), ("block", "com/de/"), ("allow", "com/fr/"), ("allow", "org/"))
 OP10 = rf"""
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-m AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(_RULES, key=lambda x: -len(x[1])))} END AS rule,
-  list_filter(str_split(path, '/'), lambda x: x <> '') AS seg FROM p),
-v AS (SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{w}'" for w, r in _RULES)} END AS given, {", ".join(_segment(k) for k in (1, 2, 3))}, CASE WHEN len(seg) > 3 THEN '**' END AS s4 FROM m),
-r0 AS (SELECT host, s1, s2, s3, s4, count(*) AS n, count(given) AS l, count(*) FILTER (given = 'block') AS b, '' AS t0 FROM v GROUP BY host, s1, s2, s3, s4),
+v AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(_RULES, key=lambda x: -len(x[1])))} END AS rule,
+  list_transform(list_filter(str_split(path, '/'), lambda x: x <> ''), lambda x: {_CLASS}) AS classes FROM p),
+w AS (SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{w}'" for w, r in _RULES)} END AS given FROM v),
+n AS (SELECT host, classes, count(*) AS n, count(given) AS l, count(*) FILTER (given = 'block') AS b FROM w GROUP BY host, classes),
+r0 AS (SELECT host, classes, n, l, b, sum(l) OVER h AS tl, sum(b) OVER h AS tb,
+    (sum(b) OVER h + 10.0::DOUBLE * (SELECT coalesce(CAST(sum(b) AS DOUBLE) / nullif(sum(l), 0), 0) FROM n)) / (sum(l) OVER h + 10.0::DOUBLE) AS purity, '' AS up FROM n WINDOW h AS (PARTITION BY host)),
 {_template_tree()},
-o AS (SELECT coalesce(CAST(sum(b) AS DOUBLE) / nullif(sum(l), 0), 0) AS prior FROM r0),
-x AS (SELECT host, t4 FROM r4 GROUP BY host, t4 HAVING (sum(b) + 10.0::DOUBLE * (SELECT prior FROM o)) / (sum(l) + 10.0::DOUBLE) >= 0.8),
-y AS (SELECT r4.* FROM r4 JOIN x USING (host, t4))
-SELECT v.page_id, v.host, v.path, v.rule, coalesce(given, CASE WHEN y.t4 IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN y ON y.host = v.host AND y.s1 IS NOT DISTINCT FROM v.s1 AND y.s2 IS NOT DISTINCT FROM v.s2 AND y.s3 IS NOT DISTINCT FROM v.s3 AND y.s4 IS NOT DISTINCT FROM v.s4
+x AS ({" UNION ALL ".join(f"SELECT host, classes, purity FROM e{k}" for k in range(1, 6))} UNION ALL SELECT host, classes, purity FROM r5)
+SELECT page_id, w.host, w.path, w.rule, coalesce(given, CASE WHEN x.purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+FROM w JOIN x ON x.host = w.host AND x.classes = w.classes
 """
 
 

@@ -29,16 +29,25 @@ def test_parts_and_rules(spark):
     assert [(got[k].host, got[k].path, got[k].rule, got[k].verdict) for k in range(len(cases))] == [c[1:] for c in cases]
 
 
-def test_templates_of_one_kind_share_a_verdict(spark):
-    bad = [f"http://h.com/de/{k}" for k in range(200)] + [f"http://h.com/fr/item-{k}-of-shop" for k in range(200)]
-    got = rows_of(spark, [*bad, "http://h.com/de/", "http://h.com/it/7"], depth=3)
-    assert got[401].verdict == "allow"
-    pages = spark.createDataFrame([(k, f"http://h.net/spam/{k}/x") for k in range(300)] + [(k, f"http://h.net/ok/{k}/x") for k in range(300, 600)], "page_id long, url string")
-    rules = [("block", f"h.net/spam/{d}") for d in range(1, 8)] + [("allow", f"h.net/ok/{d}") for d in range(1, 8)]
-    out = {r.page_id: r for r in uf.judge_urls(pages, rules).collect()}
-    free = [r for r in out.values() if r.rule is None]
-    assert {r.verdict for r in free if "/spam/" in r.path} == {"block"} and {r.template for r in free if "/spam/" in r.path} == {"/spam/*/*"}
-    assert {r.verdict for r in free if "/ok/" in r.path} <= {"allow"}
+def test_alike_branches_merge_and_pure_ones_are_rejected(spark):
+    """Branches merge by their share of blocked urls, at any depth; unlabelled ones have their siblings' purity."""
+    urls = [f"http://h.net/a/b/c/{d}/{k}/x" for d in ("spam", "junk", "ok", "fine", "new") for k in range(100, 400)]
+    rules = [("block", f"h.net/a/b/c/{d}/{k}") for d in ("spam", "junk") for k in range(100, 130)]
+    rules += [("allow", f"h.net/a/b/c/{d}/{k}") for d in ("ok", "fine") for k in range(100, 130)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = uf.judge_urls(pages, rules).collect()
+    free = [r for r in out if r.rule is None]
+    assert len(free) == 1500 - 120 and {r.verdict for r in out if r.rule} == {"allow", "block"}
+    for r in free:
+        bad = "/spam/" in r.path or "/junk/" in r.path
+        assert (r.verdict, r.template) == (("block", "/a/b/c/*2/**") if bad else ("allow", None)), r
+
+
+def test_host_of_blocked_urls_only(spark):
+    """A host whose labelled urls are all blocked loses its unlabelled ones, if there are enough labels."""
+    for n, verdict in ((200, "block"), (5, "allow")):
+        got = rows_of(spark, [*[f"http://h.com/de/{k}" for k in range(n)], *[f"http://g.com/fr/{k}" for k in range(n)], "http://h.com/it/7", "http://g.com/it/7"])
+        assert (got[2 * n].verdict, got[2 * n + 1].verdict) == (verdict, "allow")
 
 
 def test_segment_classes(spark):
