@@ -24,7 +24,8 @@ BLOCK = {
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEFT_OUT = {"head", "nav", "menu", "aside", "footer", "form", "fieldset", "select", "button", "dialog", "search", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-CLASSES = {
+#: Words of class and id that hint at surroundings: such blocks must be long to count.
+HINTS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie",
     "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "share", "sharing",
     "social", "related", "recommended", "recommendations", "sidebar", "widget", "widgets", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
@@ -46,31 +47,38 @@ STOP_WORDS = frozenset(
 _TAG = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?([a-zA-Z][^\s/>]*))")
 _ATTRIBUTES = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _REST = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*>""")
-#: Pass one: shares of stop words, characters of short blocks, share of links.
-STOP_LOW, STOP_HIGH, SHORT, MAX_LINKS = 0.10, 0.20, 70, 0.33
+#: Pass one: shares of stop words, characters of short blocks and of hinted ones, share of links outside and inside a marked article.
+STOP_LOW, STOP_HIGH, SHORT, HINTED, MAX_LINKS, MAX_LINKS_INSIDE = 0.10, 0.20, 70, 600, 0.33, 0.5
 
 
 @dataclass
 class Block:
+    """A block's text and features: characters inside links, whether in a marked article, among surroundings by element
+    or role, under a container whose class hints at them, or a heading."""
+
     text: str
     linked: int
     main: bool
     out: bool
+    hint: bool
     heading: bool
 
 
-def _unwanted(name: str, attributes: dict[str, str], main: bool) -> bool:
+def _surrounds(name: str, attributes: dict[str, str], main: bool) -> bool:
+    """Whether the element stands for surroundings or is hidden, by the standard's own names."""
     if name in LEFT_OUT or (name == "header" and not main):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if attributes.get("role", "").lower() in ROLES:
-        return True
+    return attributes.get("role", "").lower() in ROLES
+
+
+def _hints(name: str, attributes: dict[str, str]) -> bool:
     for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         parts = re.split(r"[-_]+", label)
         if name in ("html", "body", "main", "article") and not parts[0].startswith("comment"):
             continue
-        if not {"no", "has", "with", "without", "not"} & set(parts) and (parts[0] in CLASSES or parts[-1] in CLASSES):
+        if not {"no", "has", "with", "without", "not"} & set(parts) and (parts[0] in HINTS or parts[-1] in HINTS):
             return True
     return False
 
@@ -81,7 +89,7 @@ def blocks_of(page: str) -> list[Block]:
     Void, raw and unclosed elements are read as browsers do; white space inside a block is one space.
     """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside the main text, left out
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, inside a marked article, surroundings, hinted
     pieces: list[str] = []
     state = {"linked": 0, "link": 0, "breaks": 0}
 
@@ -89,9 +97,9 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(htmllib.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            main, out = stack[-1][1:] if stack else (False, False)
-            heading = any(n in HEADINGS for n, _, _ in stack[-2:])
-            found.append(Block(text, state["linked"], main, out, heading))
+            main, out, hint = stack[-1][1:] if stack else (False, False, False)
+            heading = any(n in HEADINGS for n, *_ in stack[-2:])
+            found.append(Block(text, state["linked"], main, out, hint, heading))
         state["linked"] = 0
 
     def write(raw: str) -> None:
@@ -149,7 +157,7 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         state["breaks"] = 0
         if closing:
-            names = [n for n, _, _ in stack]
+            names = [n for n, *_ in stack]
             if name in names:
                 del stack[len(names) - 1 - names[::-1].index(name) :]
                 if name not in ("p", "li"):
@@ -165,66 +173,81 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] in SCOPES:
                 break
         attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTES.findall(page[tag.end() : stop - 1])} if stop - tag.end() > 1 else {}
-        main, out = stack[-1][1:] if stack else (False, False)
-        out = out or _unwanted(name, attributes, main)
+        main, out, hint = stack[-1][1:] if stack else (False, False, False)
+        out, hint = out or _surrounds(name, attributes, main), hint or _hints(name, attributes)
         main = main or name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
-        stack.append((name, main, out))
+        stack.append((name, main, out, hint))
     flush()
     return found
 
 
-def _decide(block: Block) -> bool | None:
-    """Pass one: True main text, False not, None undecided."""
-    if block.out:
-        return False
+def stop_density(text: str) -> float:
+    """The share of the words that are stop words."""
+    words = [w.strip(".,;:!?()[]\"'«»„“”#*$%&").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def decide(block: Block) -> bool | None:
+    """Pass one: True main text, False not, None undecided.
+
+    Link density comes first, then length, then stop-word density. Inside a marked article links may be denser, and few stop
+    words leave a block undecided instead of rejecting it; a hint asks for more length.
+    """
     links = block.linked / len(block.text)
-    if block.main:
-        # The page says that this is its article: only blocks made of links stay open.
-        return True if links <= 0.5 else None
-    if links > MAX_LINKS:
+    if links > MAX_LINKS and not block.main:
+        return False
+    if block.out or (block.hint and len(block.text) < HINTED):
         return False
+    if links > MAX_LINKS_INSIDE:
+        return None
     if block.heading or len(block.text) < SHORT:
-        return None if not links else False
-    words = [w.strip(".,;:!?()[]\"'«»„“”#*$%&").lower() for w in block.text.split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
-    return True if stops >= STOP_HIGH else None if stops >= STOP_LOW else False
+        return None if block.main or not links else False
+    stops = stop_density(block.text)
+    return True if stops >= STOP_HIGH else None if block.main or stops >= STOP_LOW else False
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the article in page order, joined by blank lines.
+def labels(blocks: list[Block]) -> list[bool]:
+    """Pass two: the undecided take the label of the nearest decided block, a heading that of the next.
 
-    Pass one decides blocks by where they stand, their stop words, length and share of links. Pass two gives the
-    undecided the label of the nearest decided block, a heading that of the next; at equal distances
-    both neighbours must be main text. If the page names an article, only blocks inside count.
+    At equal distances both must be main text. If the page marks an article, neighbours are looked for on the same side of its
+    border, inside or outside, and accepted blocks outside are as open as undecided ones, for the mark is evidence against
+    them. Surroundings within an article count as outside. Without any decided neighbour a block
+    is main text, but not outside a marked article or without a letter or digit.
     """
-    blocks = blocks_of(page or "")
-    if any(b.main and not b.out for b in blocks):
-        blocks = [b for b in blocks if b.main]
-    labels = [_decide(b) for b in blocks]
-    before, last = [], None
-    for k, label in enumerate(labels):
-        last = (k, label) if label is not None else last
-        before.append(last)
-    after, last = [], None
-    for k in range(len(labels) - 1, -1, -1):
-        last = (k, labels[k]) if labels[k] is not None else last
-        after.append(last)
-    after.reverse()
-    kept = []
-    for k, block in enumerate(blocks):
-        label = labels[k]
-        if label is None:
-            left, right = before[k], after[k]
-            if block.heading and right:
-                label = right[1]
-            elif left and right:
-                near = (k - left[0]) - (right[0] - k)
-                label = left[1] if near < 0 else right[1] if near > 0 else left[1] and right[1]
+    inside = [b.main and not b.out and not b.hint for b in blocks]
+    marked = any(inside)
+    first = [decide(b) for b in blocks]
+    if marked:
+        first = [None if label and not i else label for i, label in zip(inside, first)]
+    out = [False] * len(blocks)
+    for side in (True, False):
+        at = [k for k, i in enumerate(inside) if i == side]
+        nearest: list[list] = [[None] * len(at), [None] * len(at)]
+        for way, places in enumerate((range(len(at)), range(len(at) - 1, -1, -1))):
+            last = None
+            for j in places:
+                last = j if first[at[j]] is not None else last
+                nearest[way][j] = last
+        for j, k in enumerate(at):
+            if first[k] is not None:
+                out[k] = first[k]
+                continue
+            before, after = nearest[0][j], nearest[1][j]
+            if before is None and after is None:
+                out[k] = side or (not marked and any(c.isalnum() for c in blocks[k].text))
+            elif before is None or (after is not None and (blocks[k].heading or after - j < j - before)):
+                out[k] = first[at[after]]
+            elif after is None or j - before < after - j:
+                out[k] = first[at[before]]
             else:
-                label = (left or right or (0, False))[1]
-        if label:
-            kept.append(block.text)
-    return "\n\n".join(kept)
+                out[k] = first[at[before]] and first[at[after]]
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of main text in page order, joined by blank lines."""
+    blocks = blocks_of(page or "")
+    return "\n\n".join(b.text for b, keep in zip(blocks, labels(blocks)) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
