@@ -1,11 +1,12 @@
-"""Removing byte strings that occur more than once, by suffix sorting of shards.
+"""Removing byte strings that occur more than once, by external suffix sorting of shards.
 
 Equal strings must meet in one shard. Each window of ``size`` bytes is anchored at the leftmost least
 hash of the short strings inside it, which depends on nothing but the window's own bytes. Consecutive
 windows with one anchor make a segment; each window is in exactly one. A window can only repeat if
 its anchor's hash does, so segments of hashes that occur once are left out, equal segments are kept
 once with their number, and the rest go to shards by hash. There the induced sorter finds every
-window that starts elsewhere as well.
+window that starts elsewhere as well, in bounded memory whatever the shard's size. Segments of an anchor that holds
+more than HOT_BYTES of different text are anchored anew by other hashes, so that they spread over shards.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from .induced_sort import repeated
 
 #: Bytes of text whose windows are anchored at once; longer texts go in pieces.
 PIECE = 1 << 20
-#: Bytes of segments that a shard has on average.
-SHARD_BYTES = 1 << 20
+#: Bytes of segments that a shard has on average, and of one anchor's that are anchored anew.
+SHARD_BYTES, HOT_BYTES = 2 << 20, 16 << 20
+#: How often hot segments are anchored anew, each time by shorter strings.
+ROUNDS = 4
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _hashes(data: np.ndarray, width: int) -> np.ndarray:
+def _hashes(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A mixed 64-bit hash of the ``width`` bytes (a power of two) from each position on."""
-    h, power, step = data.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019), _BASE, 1
+    h, power, step = data.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019 + seed), _BASE, 1
     while step < width:
         h = h[:-step] * np.uint64(power) + h[step:]
         power, step = power * power & (1 << 64) - 1, step * 2
@@ -51,14 +54,18 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - step)], keys[width - step :]) if width > step else keys
 
 
-def segments(text: bytes, size: int) -> Iterator[tuple[int, int, int]]:
-    """(anchor hash, first window, number of windows) of consecutive windows with one anchor."""
+def segments(text: bytes, size: int, again: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(anchor hash, first window, number of windows) of consecutive windows with one anchor.
+
+    ``again`` counts from 1 for other hashes, of strings half as long each time.
+    """
     width = 1  # a long anchor string seldom repeats where its window doesn't
     while width * 6 <= size:
         width *= 2
+    width = max(1, width >> again)
     raw = np.frombuffer(text, np.uint8)
     for at in range(0, max(0, len(raw) - size + 1), PIECE):
-        h = _hashes(raw[at : at + PIECE + size - 1], width)
+        h = _hashes(raw[at : at + PIECE + size - 1], width, again * 0x2545F4914F6CDD1D & (1 << 60) - 1)
         keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         anchor = (_least(keys, size - width + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         heads = np.flatnonzero(np.diff(anchor, prepend=-1))
@@ -95,6 +102,27 @@ def _with_text(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(f, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), how).drop("_id", "_th")
 
 
+def _anchored_anew(bodies: DataFrame, size: int) -> DataFrame:
+    """``bodies`` (shard, off, a, c, copies, body, hot) with hot ones in pieces: their windows, ROUNDS times by the anchors of other hashes.
+
+    Each window is in one piece; off says where a piece begins. Equal windows get equal anchors, and so one shard. What is equal all
+    around its anchors stays together, and the sorter bears that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "body"):
+            out = []
+            for key, off, a, c, n, body, hot in zip(*(x.to_pylist() for x in batch.columns)):
+                pieces = [(key, off, body)]
+                for again in range(1, ROUNDS + 1) if hot else ():
+                    pieces = [((k * 31 + h) * 0x9E3779B97F4A7C15 & (1 << 63) - 1, o + lo, b[lo : lo + w + size - 1]) for k, o, b in pieces for h, lo, w in segments(b, size, again)]
+                out += [(k, o, a, c, n, b) for k, o, b in pieces]
+            columns = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, batch.schema)], batch.schema.names[:6])
+
+    return bodies.mapInArrow(run, "shard bigint, off bigint, a bigint, c bigint, copies bigint, body binary")
+
+
 def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with the text hash th, and (doc_id, th, spans) of texts with repeated strings.
 
@@ -108,7 +136,7 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     anchors = table.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a").checkpoint()
     near = with_bit(table, "a", bit_filter(anchors, "a", anchors.count()))
     found = materialise(near.join(anchors, "a", "left_semi"), "repeated-segments")
-    # Equal segments are one with a number; the one with the least place gives the text.
+    # Equal segments are one with a number; any one of them gives the text.
     place = F.struct("doc_id", "th", "lo", "n").alias("place")
     kinds = found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("copies"), F.first(place).alias("place")).checkpoint()
     wanted = kinds.groupBy("place.doc_id", "place.th").agg(F.collect_list(F.struct("a", "c", "copies", "place.lo", "place.n")).alias("parts"))
@@ -124,32 +152,52 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["a", "c", "copies", "body"])
 
     bodies = _with_text(asked, wanted, "inner").select("text", "parts").mapInArrow(texts, "a bigint, c bigint, copies bigint, body binary")
+    bodies = bodies.select(F.col("a").alias("shard"), F.lit(0).cast("long").alias("off"), "a", "c", "copies", "body")
+    hot = kinds.groupBy("a").agg(F.sum(F.col("place.n") + size - 1).alias("b")).filter(F.col("b") > HOT_BYTES).select("a", F.lit(True).alias("hot")).checkpoint()
+    if not hot.isEmpty():
+        bodies = _anchored_anew(bodies.join(hot, "a", "left").select(*bodies.columns, "hot"), size)
     folder = new_path(spark, "queues")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[int, bytes]] = {}
-        for batch in batches:
-            held |= {(a, c): (n, b) for a, c, n, b in zip(*(x.to_pylist() for x in batch.columns))}
-        marks, keys = repeated([b for _, b in held.values()], size, folder), list(held)
+        # Text goes through the sorter; of each segment its key and length are held.
+        seen, held = set(), []
+
+        def texts_in() -> Iterator[bytes]:
+            for batch in batches:
+                for off, a, c, n, body in zip(*(x.to_pylist() for x in batch.columns[1:])):
+                    if (off, a, c) not in seen:
+                        seen.add((off, a, c))
+                        held.append((off, a, c, n, len(body)))
+                        yield body
+
+        def told(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])], ["a", "c", "copies", "spans"])
+
         out = []
-        for key, mask in zip(keys, marks):
-            copies, body = held[key]
-            if copies > 1:
-                spans = [0, len(body)]
-            else:
-                at = np.flatnonzero(mask)
-                far = np.flatnonzero(np.diff(at) > size) + 1
-                spans = np.stack([at[np.append(0, far)], at[np.append(far - 1, len(at) - 1)] + size], 1).ravel().tolist() if len(at) else []
-            if spans:
-                out.append((*key, copies, spans))
-        for at in range(0, len(out), 10_000):
-            part = out[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])], ["a", "c", "copies", "spans"])
+        for k, at in repeated(texts_in(), size, folder):
+            off, a, c, n, _ = held[k]
+            if n > 1:
+                continue
+            far = np.flatnonzero(np.diff(at) > size) + 1
+            spans = np.stack([at[np.append(0, far)], at[np.append(far - 1, len(at) - 1)] + size], 1).ravel() + off
+            out.append((a, c, n, spans.tolist()))
+            if len(out) >= 10_000:
+                yield told(out)
+                out = []
+        # Segments that occur several times are repeated as a whole.
+        for off, a, c, n, length in held:
+            if n > 1:
+                out.append((a, c, n, [off, off + length]))
+            if len(out) >= 10_000:
+                yield told(out)
+                out = []
+        yield told(out)
         give_back()
 
     shards = max(1, -(-int(sums["b"]) // SHARD_BYTES))
-    spans = materialise(bodies.repartition(shards, "a").mapInArrow(shard, "a bigint, c bigint, copies bigint, spans array<bigint>"), "segment-spans")
+    spans = materialise(bodies.repartition(shards, "shard").mapInArrow(shard, "a bigint, c bigint, copies bigint, spans array<bigint>"), "segment-spans")
     remove(spark, folder)
+    # A segment has at most 2 * size bytes, so its spans are few.
     marked = hot_join(found, spans, ["a", "c"], "copies", found.count(), "inner")
     moved = marked.select("doc_id", "th", F.transform("spans", lambda x: x + F.col("lo")).alias("spans"))
     return docs, moved.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))

@@ -51,3 +51,25 @@ def test_removal_keeps_columns_and_rows(spark):
     got = sorted((r.doc_id, r.text or "", r.th, r.spans) for r in suffix_dedup.remove_repeats(docs, 20).collect() if True)
     assert got == [(1, "x1", "k", "s"), (2, "2", None, None), (3, "", "", "t"), (3, "alone", "", "t")]
     assert suffix_dedup.remove_repeats(docs.limit(0), 20).count() == 0
+
+
+def test_hot_anchors_and_spilled_shards(spark, monkeypatch):
+    """A notice that stands in many different texts: its segments are anchored anew, and shards exceed the sorter's memory."""
+    from hopscope.llm import induced_sort
+
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1 << 14)
+    anew = []
+    inner = suffix_dedup._anchored_anew
+    monkeypatch.setattr(suffix_dedup, "_anchored_anew", lambda *a: anew.append(1) or inner(*a))
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    notice, texts = text(35), []
+    for _ in range(250):
+        texts.append(text(60) + notice + text(60))
+    texts += [t[10:140] for t in texts[:30]] + [text(30) + t[40:] for t in texts[30:60]] + texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # Workers take the limit from a default argument.
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda segments, size, folder: induced_sort.repeated(segments, size, folder, 1 << 12))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digest(docs, 48).collect())
+    assert anew and got == Counter((i, *w) for i, w in enumerate(brute(texts, 48)))
