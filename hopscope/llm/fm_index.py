@@ -8,15 +8,20 @@ all phrases at once, occurrences are located by sampled suffix positions, and th
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, by_bytes
+from ..session import new_path
+from .common import LOWER, UPPER, by_bytes, small_batches
 
 #: Bytes of words: digits, lower-case letters and all of 0x80 and above; A-Z are lowered, the rest separates.
 _WORDS = bytes(
@@ -144,13 +149,13 @@ class FMIndex:
 class Phrases:
     """Test phrases: windows of consecutive words of items, with what is needed to search them."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for item, words in items:
             for at in range(max(1, len(words) - window + 1)) if words else ():
                 owners[tuple(words[at : at + window])].add(item)
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for p in owners for w in p}), 1)}
-        self.owners = [sorted(x) for x in owners.values()]
+        self.owners = [list(x) for x in owners.values()]
         self.lengths = np.array([len(p) for p in owners], np.int64)
         self.symbols = np.zeros((len(owners), window), np.int32)
         for k, p in enumerate(owners):
@@ -189,23 +194,63 @@ class Phrases:
         return found, source[index.locate(rows)]
 
 
-def phrase_blocks(benchmark: DataFrame, window: int) -> list:
-    """The test phrases as broadcasts of at most BLOCK_WORDS words each; an item is in one block.
+def phrase_blocks(benchmark: DataFrame, window: int) -> list[str]:
+    """Files in the shared folder with the test phrases of about BLOCK_WORDS words each; an item is in one block.
 
-    The driver holds one block at a time. Null and empty texts have no phrases.
+    Executors build them. Each attempt writes files of its own, and only those that finished attempts report are
+    listed: a path for some ten megabytes of test text. Null and empty texts have no phrases. Items with null ids are one item.
     """
-    spark, blocks, held, size = benchmark.sparkSession, [], [], 0
-    for item, text in benchmark.selectExpr("cast(item_id AS string)", "text").toLocalIterator():
-        words = words_of(text)
-        if held and size + len(words) > BLOCK_WORDS:
-            blocks.append(spark.sparkContext.broadcast(Phrases(held, window)))
-            held, size = [], 0
-        held.append((str(item), words))
-        size += len(words)
-    return [*blocks, spark.sparkContext.broadcast(Phrases(held, window))]
+    spark = benchmark.sparkSession
+    folder = new_path(spark, "phrases")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        held, size, done = [], 0, []
+
+        def close() -> None:
+            nonlocal held, size
+            name = f"{root}/{uuid.uuid4().hex}"
+            with fs.open_output_stream(name) as out:
+                out.write(pickle.dumps(Phrases(held, window)))
+            done.append(name.rsplit("/", 1)[1])
+            held, size = [], 0
 
-def search_shard(texts: list[str | None], blocks: list[Phrases]) -> list[tuple[int, np.ndarray, list[str]]]:
+        for batch in by_bytes(batches, 1):
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(text)
+                if held and size + len(words) > BLOCK_WORDS:
+                    close()
+                if words:
+                    held.append((item, words))
+                    size += len(words)
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["name"])
+
+    items = small_batches(benchmark).selectExpr("cast(item_id AS string) AS item_id", "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # Few partitions, so that small test sets are one block.
+    written = items.coalesce(max(1, -(-size // (6 * BLOCK_WORDS)))).mapInArrow(run, "name string")
+    return sorted(f"{folder}/{r.name}" for r in written.collect())
+
+
+class Blocks:
+    """The phrase blocks, of which a task holds one at a time."""
+
+    def __init__(self, paths: list[str]):
+        self.paths, self.last = paths, None
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for path in self.paths:
+            if self.last is None or self.last[0] != path:
+                fs, where = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(where) as f:
+                    self.last = (path, pickle.loads(f.read()))
+            yield self.last[1]
+
+
+def search_shard(texts: list[str | None], blocks: Iterable[Phrases]) -> list[tuple[int, np.ndarray, list[str | None]]]:
     """Per text: its number of words, a mask of its hit words, and the items that occur."""
     split = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
@@ -222,7 +267,7 @@ def search_shard(texts: list[str | None], blocks: list[Phrases]) -> list[tuple[i
         for d, p in set(zip(doc[at].tolist(), found.tolist())):
             items[d].update(phrases.owners[p])
     hit = np.cumsum(change[:-1]) > 0
-    return [(int(n), hit[s : s + n], sorted(items.get(d, ()))) for d, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist()))]
+    return [(int(n), hit[s : s + n], sorted(items.get(d, ()), key=lambda i: (i or "", i is not None))) for d, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist()))]
 
 
 def cut(text: str, hit: np.ndarray) -> str:
@@ -239,7 +284,7 @@ def cut(text: str, hit: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def clean(text: str, blocks: list[Phrases]) -> str:
+def clean(text: str, blocks: Iterable[Phrases]) -> str:
     """``text`` without any occurrence; cutting can bring a new one together, so until none is left."""
     while (found := search_shard([text], blocks)[0])[1].any():
         text = cut(text, found[1])
@@ -252,15 +297,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     n_hit counts words inside occurrences of windows of ``window`` words of an item (items of fewer
     words are one window); n_items the items with occurring windows; items_sha256 their ids as strings,
     sorted and joined by commas. No row is shuffled. Null texts have no words; rows with equal ids are
-    judged each; null item ids are one item "None"; empty benchmarks hit nothing.
+    judged each; items with null ids are one item, whose id is an empty text; empty benchmarks hit nothing.
     """
-    blocks = phrase_blocks(benchmark, window)
+    paths = phrase_blocks(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(paths)
         for shard in by_bytes(batches, 1, SHARD_BYTES):
-            found = search_shard(shard.column(1).to_pylist(), [b.value for b in blocks])
+            found = search_shard(shard.column(1).to_pylist(), blocks)
             columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([int(h.sum()) for _, h, _ in found], pa.int64())]
-            columns += [pa.array([len(i) for _, _, i in found], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in found])]
+            columns += [pa.array([len(i) for _, _, i in found], pa.int64()), pa.array([hashlib.sha256(",".join(x or "" for x in i).encode()).hexdigest() for _, _, i in found])]
             yield pa.RecordBatch.from_arrays([shard.column(0), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -269,14 +315,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with the merged spans of all occurrences cut out of its text; other columns and rows stay."""
-    blocks = phrase_blocks(benchmark, window)
+    paths = phrase_blocks(benchmark, window)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(paths)
         for shard in by_bytes(batches, at, SHARD_BYTES):
-            texts, all_blocks = shard.column(at).to_pylist(), [b.value for b in blocks]
-            found = search_shard(texts, all_blocks)
-            new = [clean(t, all_blocks) if h.any() else t for t, (_, h, _) in zip(texts, found)]
+            texts = shard.column(at).to_pylist()
+            found = search_shard(texts, blocks)
+            new = [clean(t, blocks) if h.any() else t for t, (_, h, _) in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([pa.array(new, shard.schema.field(at).type) if k == at else c for k, c in enumerate(shard.columns)], schema=shard.schema)
 
     return docs.mapInArrow(run, docs.schema)
