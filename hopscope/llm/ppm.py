@@ -41,6 +41,8 @@ ALPHABET = 255
 DISCOUNT = 0.3
 #: Bytes of text in a block, on average, and of text whose contexts are built at once.
 BLOCK_BYTES, PIECE = 64 << 20, 1 << 20
+#: Rows of one context that a task sorts; contexts with more are summed by parts.
+HOT_ROWS = 1 << 22
 
 
 def _raw(text: str | None) -> bytes:
@@ -325,6 +327,32 @@ def _lower_orders(known: DataFrame, open_: DataFrame, order: int) -> DataFrame:
     return out
 
 
+def _sums_by_context(asked: DataFrame) -> DataFrame:
+    """``asked`` (block, key, n) with first (one row of each key that training texts have), c (the key's count), N and q of its context.
+
+    The rows of a context meet in one task, which sums them up, unless there can be more than HOT_ROWS of them: a block has
+    256 at most. Such contexts are summed by key and context with partial sums, and go back to their rows by a join.
+    """
+    context = F.when(F.col("key") >= 0, F.shiftright("key", 8)).otherwise(F.col("key"))
+    rows, columns = asked.withColumn("context", context), ("block", "key", "n", "c", "first", "N", "q")
+
+    def windowed(part: DataFrame) -> DataFrame:
+        same_key, same_context = Window.partitionBy("context", "key"), Window.partitionBy("context")
+        summed = part.withColumn("c", F.sum("n").over(same_key))
+        summed = summed.withColumn("first", (F.row_number().over(same_key.orderBy("block")) == 1) & (F.col("c") > 0))
+        return summed.withColumns({"N": F.sum("n").over(same_context), "q": F.count_if("first").over(same_context)}).select(*columns)
+
+    if 256 * asked.select("block").distinct().count() <= HOT_ROWS:
+        return windowed(rows)
+    hot = rows.groupBy("context").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HOT_ROWS).select("context").checkpoint()
+    inside = rows.join(hot, "context", "left_semi")
+    keys = inside.groupBy("context", "key").agg(F.sum("n").alias("c"), F.min("block").alias("least")).checkpoint()
+    whole = keys.groupBy("context").agg(F.sum("c").alias("N"), F.count_if(F.col("c") > 0).alias("q"))
+    told = inside.drop("context").join(keys.join(whole, "context").drop("context"), "key")
+    told = told.withColumn("first", (F.col("block") == F.col("least")) & (F.col("c") > 0)).select(*columns)
+    return windowed(rows.join(hot, "context", "left_anti")).unionByName(told)
+
+
 def score_corpus(docs: DataFrame, train: Column, order: int = 5) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
@@ -333,8 +361,8 @@ def score_corpus(docs: DataFrame, train: Column, order: int = 5) -> DataFrame:
     apart by 63-bit hashes. Null texts are empty, a null ``train`` is false, rows with equal ids are
     scored each, and an empty table gives none.
 
-    A block sends each key that it needs once, with its training count. The keys of a context meet in
-    one task, in at most 256 rows a block, and sum up there to what the answers need; those that no
+    A block sends each key that it needs once, with its training count. The keys of a context are
+    summed up (``_sums_by_context``) to what the answers need; those that no
     training text has go on to shorter contexts. Both ways the rows are in proportion to the text, and
     the texts themselves stay in their blocks' files.
     """
@@ -348,11 +376,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = 5) -> DataFrame:
     path = new_path(spark, "asked")
     _write_blocks(rows.coalesce(max(1, -(-size // BLOCK_BYTES))), folder, order).write.option("compression", "zstd").parquet(path)
     asked = spark.read.schema("block bigint, key bigint, n int").parquet(path)
-    context = F.when(F.col("key") >= 0, F.shiftright("key", 8)).otherwise(F.col("key"))
-    same_key, same_context = Window.partitionBy("context", "key"), Window.partitionBy("context")
-    summed = asked.withColumn("context", context).withColumn("c", F.sum("n").over(same_key))
-    summed = summed.withColumn("first", (F.row_number().over(same_key.orderBy("block")) == 1) & (F.col("c") > 0))
-    summed = summed.withColumns({"N": F.sum("n").over(same_context), "q": F.count_if("first").over(same_context)})
+    summed = _sums_by_context(asked)
     value = F.when(F.col("key") < 0, F.col("c").cast("double")).when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT) / F.col("N")))
     answers = materialise(summed.select("key", "block", "first", F.when(F.col("first"), F.col("c")).alias("c"), value.alias("v"), F.when(value.isNull(), F.col("N")).alias("N"), F.when(value.isNull(), F.col("q")).alias("q")), "answers", "zstd")
     remove(spark, path)
