@@ -136,7 +136,7 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, max_rows: int = FIT_ROW
     got = rows.mapInArrow(run, "grade int, features array<int>").toArrow()
     if not len(got):
         return None
-    grades, features = got["grade"].to_numpy(), [np.asarray(f, np.int32) for f in got["features"].to_pylist()]
+    grades, features = got["grade"].to_numpy(), [np.asarray(f.values, np.int32) for f in got["features"]]
     # The order of rows must not depend on the tasks.
     order = sorted(range(len(grades)), key=lambda k: (grades[k], len(features[k]), features[k].tobytes()))
     return fit([np.sort(features[k]) for k in order], grades[order].astype(np.int64), top)

@@ -15,6 +15,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,7 +37,16 @@ def payload_digest(payload: bytes) -> str:
 
 
 def _name(page_id: object) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """The record's name of a page id: null has none, an empty text is a dot, what a header can't hold is quoted."""
+    plain = "" if page_id is None else quote(str(page_id), safe="").replace(".", "%2E") or "."
+    return f"<urn:page:{plain}>"
+
+
+def _page_id(name: str | None, number: bool) -> int | str | None:
+    plain = (name or "").removeprefix("<urn:page:").removesuffix(">")
+    if not plain:
+        return None
+    return int(plain) if number else "" if plain == "." else unquote(plain)
 
 
 def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, revisit: bool) -> bytes:
@@ -220,25 +230,24 @@ def write_packages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return materialise(written, "package-list")
 
 
-def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
+def read_packages(packages: DataFrame, payloads: bool = False, ids: str = "bigint") -> DataFrame:
     """One row per record of the packages at ``path``: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    With ``payloads`` also payload, null for revisits. A response whose payload differs from its
-    digest is an error.
+    With ``payloads`` also payload, null for revisits. ``ids`` is the type of page ids, bigint or string. A response whose
+    payload differs from its digest is an error.
     """
+    if ids not in ("bigint", "string"):
+        raise ValueError("page ids are bigint or string")
+    number, id_kind = ids == "bigint", pa.int64() if ids == "bigint" else pa.string()
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payloads]
-
-    def number(name: str | None) -> int | None:
-        text = (name or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
+    kinds = [id_kind, pa.string(), pa.int64(), pa.string(), pa.string(), id_kind, *[pa.binary()] * payloads]
 
     def row(raw: bytes) -> tuple:
         warc, http, payload = parse_record(raw)
         kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
         if kind == "response" and payload_digest(payload) != digest:
             raise ValueError(f"record {warc['warc-record-id']} does not match its digest")
-        out = (number(warc["warc-record-id"]), warc.get("warc-target-uri"), int(http["content-length"]), digest, kind, number(warc.get("warc-refers-to")))
+        out = (_page_id(warc["warc-record-id"], number), warc.get("warc-target-uri"), int(http["content-length"]), digest, kind, _page_id(warc.get("warc-refers-to"), number))
         return (*out, payload if kind == "response" else None) if payloads else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +264,7 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
                             held, size = [], 0
                     yield _batch(held, names, kinds)
 
-    schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
+    schema = f"page_id {ids}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {ids}" + ", payload binary" * payloads
     spread = packages.select("path").repartition(max(1, packages.count()), "path")
     return spread.mapInArrow(run, schema)
 
