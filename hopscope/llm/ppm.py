@@ -165,7 +165,7 @@ _DIGITS = np.random.default_rng(42).integers(1, 1 << 64, 256, np.uint64)
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _word_keys(raws: list[bytes], spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+def word_keys(raws: list[bytes], spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
     """A negative key for each word (keys of contexts are not negative), and how many words each span has.
 
     The key is a hash of the word's bytes as digits, from sums over the piece.
@@ -208,7 +208,7 @@ def requests(raws: list[bytes], train: list[bool], order: int) -> tuple[np.ndarr
             parts[:] = [_merged(parts)]
 
     for spans in _spans(raws, words=True):
-        add(*_word_keys(raws, spans), spans)
+        add(*word_keys(raws, spans), spans)
     for spans in _spans(raws):
         add(*_context_keys(raws, spans, order), spans)
     return _merged(parts)
@@ -405,7 +405,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = 5) -> DataFrame:
                 n = len(raws)
                 base, score, n_tokens, n_known = np.full(n, math.log10((ends + 0.1) / divisor)), np.zeros(n), np.ones(n), np.full(n, float(ends > 0))
                 for spans in _spans(raws, words=True):
-                    found, sizes = _word_keys(raws, spans)
+                    found, sizes = word_keys(raws, spans)
                     counts = words.get(found)
                     base += _sums(np.log10((counts + 0.1) / divisor), sizes, spans, n)
                     n_known += _sums(counts > 0, sizes, spans, n)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import materialise
 from .common import LOWER, UPPER, bit_filter, by_bytes, hot_join, small_batches, with_bit
+from .ppm import word_keys
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles whose bits are counted at once.
@@ -138,34 +139,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
 
 
 #: Of the parts of a text's shingles at one level, those that are posted: which depends on hashes only.
-PARTS = 32
+PARTS = 24
 
 
-def part_fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """SimHash fingerprints of parts of a set of shingle hashes: texts that share most shingles share whole parts.
+def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of the word shingles of each text, in order; of fewer words than ``shingle`` all are one.
+
+    Hashes of words are taken from sums over all texts at once and mixed to those of shingles.
+    """
+    raws = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    words, counts = word_keys(raws, [(k, 0, len(r)) for k, r in enumerate(raws)])
+    words, ends = words.view(np.uint64), np.cumsum(counts)
+    h = np.full(max(0, len(words) - shingle + 1), 42, np.uint64)
+    for j in range(shingle):
+        h = _mixed(h, words[j : len(words) - shingle + 1 + j])
+    out = []
+    for first, end in zip((ends - counts).tolist(), ends.tolist()):
+        if end - first >= shingle:
+            out.append(np.unique(h[first : end - shingle + 1]))
+        else:
+            short = np.full(min(1, end - first), 41, np.uint64)
+            for w in words[first:end]:
+                short = _mixed(short, w[None])
+            out.append(short)
+    return out
+
+
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def part_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number, fingerprint): SimHash fingerprints of parts of each set of shingle hashes: sets that share most share whole parts.
 
     At level e a shingle belongs to the part that e bits of its hash name. The levels are those with
     4 to 8 and with 2 to 4 shingles a part, so that two texts of like size have one at least in common. Parts
     are positions: a fingerprint is mixed with its level and part, so that only the same part of two texts meets.
-    PARTS parts of each level are used (all of texts under 64 to 128 shingles), those of under two shingles only in texts of few.
+    PARTS parts of each level are used, those of under two shingles only in texts of few; empty sets have fingerprint 0.
     """
-    size, out = len(hashes), []
-    level = max(0, int(np.floor(np.log2(max(size, 1) / 8))) + 1)
-    for e in (level, level + 1):
-        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        part = mixed & np.uint64((1 << e) - 1)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    hashes, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    base = np.maximum(0, np.floor(np.log2(np.maximum(sizes, 1) / 8)).astype(np.int64) + 1)
+    numbers, out = [np.flatnonzero(sizes == 0)], [np.zeros(int((sizes == 0).sum()), np.int64)]
+    for level in (base, base + 1):
+        part = mixed & ((np.uint64(1) << level.astype(np.uint64)) - np.uint64(1))[owner]
         use = np.flatnonzero(part < PARTS)
-        use = use[np.argsort(part[use], kind="stable")]
+        key = owner[use] * PARTS + part[use].astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        use, key = use[order], key[order]
         if not len(use):
             continue
-        heads = np.flatnonzero(np.diff(part[use].astype(np.int64), prepend=-1))
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
         bits = np.unpackbits(hashes[use].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
-        sizes = np.diff(heads, append=len(use))
-        fps = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        fps = fps ^ ((part[use][heads] + np.uint64(e << 32)) * np.uint64(0xD6E8FEB86659FD93))
-        out.append(fps[(sizes > 1) | (size < 4)].view(np.int64))
-    return np.unique(np.concatenate(out)) if out else np.zeros(1, np.int64)
+        counts = np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+        many, mine = np.diff(heads, append=len(use)), owner[use[heads]]
+        fps = np.packbits(2 * counts > many[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        place = part[use[heads]] + (level[mine].astype(np.uint64) << np.uint64(32))
+        keep = (many > 1) | (sizes[mine] < 4)
+        numbers.append(mine[keep])
+        out.append((fps ^ (place * np.uint64(0xD6E8FEB86659FD93)))[keep].view(np.int64))
+    return np.concatenate(numbers), np.concatenate(out)
 
 
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -176,16 +211,18 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     for byte positions to guarantee, so the positions of the inverted index are parts of the shingles (``part_fingerprints``),
     and texts that share one position's fingerprint meet. Those are compared on whole sets:
     all pairs of up to PAIR_LIST texts, and in longer meetings all that other links do not join yet
-    (``_link_long``). So each link is exact, and a pair at 0.8 is missed only if it agrees in none of 32 parts or more: under one in
-    a million. Texts without words are alike.
+    (``_link_long``). So each link is exact, and a pair at 0.8 is missed only if it agrees in none of its parts, 24 or
+    more in texts of over 100 words: under one in ten thousand. Texts without words are alike.
     """
     docs = small_batches(texts).select(F.col("text_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
-            fps = pa.array([part_fingerprints(np.unique(_hashes(t.as_py(), shingle))) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fps"])
+            number, fps = part_fingerprints(shingle_sets(batch.column(1).to_pylist(), shingle))
+            order = np.argsort(number, kind="stable")
+            starts = np.searchsorted(number[order], np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(fps[order]))], ["doc_id", "fps"])
 
     signed = docs.mapInArrow(parts, f"doc_id {kind}, fps array<bigint>").groupBy("doc_id").agg(F.first("fps").alias("fps"))
     shown = materialise(signed.select("doc_id", F.explode("fps").alias("at")), "parts")
@@ -196,7 +233,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
             # 32 bits of each hash, sorted: one pair in thousands of millions agrees by chance.
-            out = [np.unique(_hashes(t.as_py(), shingle) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
+            out = [np.unique(x >> np.uint64(32)).astype("<u4").tobytes() for x in shingle_sets(batch.column(1).to_pylist(), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
 
     wanted = with_bit(docs.withColumn("h", F.xxhash64("doc_id")), "h", bit_filter(asked, "h", asked.count()))
@@ -273,13 +310,13 @@ def _link_long(members: DataFrame, linked: DataFrame, wanted: DataFrame, similar
         pivots = used if pivots is None else pivots.union(used)
         tried = hot_join(apart, best, "at", "_n", apart.count(), "inner").withColumn("_best", F.filter("_best", lambda x: x["component"] != F.col("component")))
         done = done.union(similar(_pivot_pairs(tried, F.col("_best.doc_id")).distinct())).distinct().checkpoint()
-    return done.union(similar(_prefix_pairs(apart.select("at", "doc_id", "component", "size"), wanted, similarity)))
+    return done.union(similar(_prefix_pairs(apart.select("doc_id", "component", "size").distinct(), wanted, similarity)))
 
 
 def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of members of a meeting in two components that share one of their rarest shingles.
+    """(a, b) of ``members`` (doc_id, component, size) in two components that share one of their rarest shingles.
 
-    Sets of which ``similarity`` of the larger is common share one at least of the rarest in the meeting that
+    Sets of which ``similarity`` of the larger is common share one at least of the rarest that
     exceed the rest of each set; sets without shingles share the shingle -1.
     """
     kind = wanted.schema["doc_id"].dataType.simpleString()
@@ -289,17 +326,17 @@ def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> D
             out = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) if len(x.as_py()) else np.array([-1]) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
-    tokens = wanted.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(unpack, f"doc_id {kind}, tokens array<bigint>")
-    rows = members.join(tokens, "doc_id").select("at", "doc_id", "component", "size", F.explode("tokens").alias("token"))
+    tokens = wanted.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(unpack, f"doc_id {kind}, tokens array<bigint>")
+    rows = members.join(tokens, "doc_id").select("doc_id", "component", "size", F.explode("tokens").alias("token"))
     rows = materialise(rows, "meeting-shingles")
-    shared = rows.groupBy("at", "token").agg(F.count(F.lit(1)).alias("f"))
-    sets = rows.join(shared, ["at", "token"]).groupBy("at", "doc_id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    sets = rows.join(shared, "token").groupBy("doc_id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
     length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
-    rare = sets.select("at", "doc_id", "component", "size", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("x")).filter("x.f > 1")
-    rare = materialise(rare.select("at", "doc_id", "component", "size", "x.token"), "rare-shingles")
+    rare = sets.select("doc_id", "component", "size", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("x")).filter("x.f > 1")
+    rare = materialise(rare.select("doc_id", "component", "size", "x.token"), "rare-shingles")
     left = rare.withColumnsRenamed({"doc_id": "a", "component": "ca", "size": "na"})
     right = rare.withColumnsRenamed({"doc_id": "b", "component": "cb", "size": "nb"})
-    pairs = left.join(right, ["at", "token"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like_sizes("na", "nb", similarity))
+    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like_sizes("na", "nb", similarity))
     return pairs.select("a", "b").distinct()
 
 

@@ -49,7 +49,7 @@ def test_spans_cut_long_texts(monkeypatch):
         assert all(b"".join(raws[k][a:e] for j, a, e in seen if j == k) == raws[k] for k in range(len(raws)))
         whole[words] = len(seen)
     assert whole[False] > len(raws)
-    keys = [(k, key) for spans in ppm._spans(raws, True) for (k, _, _), part in zip(spans, np.split(*(lambda x: (x[0], np.cumsum(x[1])[:-1]))(ppm._word_keys(raws, spans)))) for key in part]
+    keys = [(k, key) for spans in ppm._spans(raws, True) for (k, _, _), part in zip(spans, np.split(*(lambda x: (x[0], np.cumsum(x[1])[:-1]))(ppm.word_keys(raws, spans)))) for key in part]
     names = [(k, w) for k, raw in enumerate(raws) for w in raw.split()]
     assert len(keys) == len(names) and len({(k, v) for k, v in keys}) == len(set(names))
     assert all(v < 0 for _, v in keys)
