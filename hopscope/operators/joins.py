@@ -84,14 +84,14 @@ def rolling_distinct(rows: DataFrame, by: str, on: str, target: str, width: int)
     return rows.withColumn("targets", F.size(F.collect_set(target).over(frame)).cast("long"))
 
 
-def mutual_best(pairs: DataFrame, left: str, right: str, *order: str, max_rounds: int = 100) -> DataFrame:
+def mutual_best(pairs: DataFrame, left: str, right: str, *order: str) -> DataFrame:
     """One-to-one pairs by rounds of mutual best; ends with two equally good partners stay unresolved.
 
-    Each round keeps pairs that are the strictly best of both ends and drops all others of these ends.
+    Each round keeps pairs that are the strictly best of both ends and drops all others of these ends, until a round finds none.
     """
     rank = F.struct(*[F.col(c) for c in order])
     open_, done = pairs.withColumn("_rank", rank).checkpoint(), []
-    for _ in range(max_rounds):
+    while True:
 
         def best(end: str, name: str, rows: DataFrame) -> DataFrame:
             part = Window.partitionBy(end)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import ipaddress
 
 import pandas as pd
@@ -21,26 +20,67 @@ def tokens(rows: DataFrame, column: str, order: str, kind: str) -> DataFrame:
     return rows.join(named, column, "left")
 
 
+class AddressMap:
+    """A keyed one-to-one map of addresses: two that share their first n bits share exactly n after it.
+
+    The bytes before each byte of an address, under the key, give 256 pseudorandom bits; the byte's own bits walk a
+    tree of 255 nodes and each is flipped if its node's bit is set. So a byte is one look-up in a table of 256 values that its
+    prefix names, and tables are kept while a batch is mapped.
+    """
+
+    def __init__(self, key: bytes):
+        self.key, self.tables = hashlib.blake2b(key, person=b"addresses").digest(), {}
+
+    def _table(self, version: int, prefix: bytes) -> bytes:
+        found = self.tables.get((version, prefix))
+        if found is None:
+            flips = int.from_bytes(hashlib.blake2b(prefix, key=self.key, salt=bytes([version, len(prefix)]), digest_size=32).digest(), "big")
+            found = bytearray(256)
+            for byte in range(256):
+                node = 1
+                for shift in range(7, -1, -1):
+                    bit = byte >> shift & 1
+                    found[byte] |= (bit ^ flips >> node & 1) << shift
+                    node = node * 2 + bit
+            if len(self.tables) >= 65_536:
+                self.tables.clear()
+            found = self.tables[version, prefix] = bytes(found)
+        return found
+
+    def packed(self, raw: bytes) -> bytes:
+        """The mapped bytes of an IPv4 or IPv6 address."""
+        version = 4 if len(raw) == 4 else 6
+        return bytes(self._table(version, raw[:k])[b] for k, b in enumerate(raw))
+
+    def text(self, text: str | None) -> str | None:
+        """The mapped address of a text, null for what isn't one."""
+        try:
+            address = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return str(type(address)(self.packed(address.packed)))
+
+
 def map_address(text: str | None, key: bytes) -> str | None:
-    """A keyed one-to-one map of addresses: two that share their first n bits share exactly n after it."""
-    try:
-        address = ipaddress.ip_address(text)
-    except ValueError:
-        return None
-    size, value, out = address.max_prefixlen, int(address), 0
-    for bit in range(size):
-        prefix = value >> (size - bit)
-        flip = hmac.digest(key, f"{address.version}/{bit}/{prefix}".encode(), hashlib.sha256)[0] & 1
-        out = out << 1 | (value >> (size - bit - 1) & 1) ^ flip
-    return str(type(address)(out))
+    return AddressMap(key).text(text)
+
+
+def map_hardware(raw: bytes, key: bytes) -> bytes:
+    """A keyed hardware address that keeps the group bit; the broadcast address stays."""
+    if raw.count(0xFF) == len(raw):
+        return raw
+    out = bytearray(hashlib.blake2b(raw, key=hashlib.blake2b(key, person=b"hardware").digest(), digest_size=len(raw)).digest())
+    out[0] ^= (out[0] ^ raw[0]) & 1
+    return bytes(out)
 
 
 def anonymise_ipv4(column: Column, key: bytes) -> Column:
-    """Addresses mapped by :func:`map_address`, each distinct one of an Arrow batch once; odd texts become null."""
+    """Addresses of both versions mapped by :class:`AddressMap`, each distinct one of an Arrow batch once; odd texts become null."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map({v: map_address(v, key) for v in values.unique()})
+        mapped = AddressMap(key)
+        return values.map({v: mapped.text(v) for v in values.unique()})
 
     return run(column)
 
@@ -82,11 +122,9 @@ def anonymise_record(data: bytes, key: bytes) -> bytes | None:
         if size < 20 or len(data) < body + size:
             return None
     out = bytearray(data[: body + size] + bytes(len(data) - body - size))
-    for at in (0, 6):
-        mac = hmac.digest(key, b"mac" + data[at : at + 6], hashlib.sha256)[:6]
-        out[at : at + 6] = data[at : at + 6] if data[at : at + 6] == b"\xff" * 6 else bytes([mac[0] & 0xFE | data[at] & 1, *mac[1:]])
-    before = data[26:34]
-    after = b"".join(ipaddress.ip_address(map_address(str(ipaddress.ip_address(before[k : k + 4])), key)).packed for k in (0, 4))
+    out[:12] = map_hardware(data[:6], key) + map_hardware(data[6:12], key)
+    before, mapped = data[26:34], AddressMap(key)
+    after = mapped.packed(before[:4]) + mapped.packed(before[4:])
     out[26:34] = after
     out[24:26] = updated_checksum(int.from_bytes(data[24:26], "big"), before, after).to_bytes(2, "big")
     place = body + (16 if proto == 6 else 6)

@@ -55,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     base = tempfile.mkdtemp(prefix="hopscope-")
     atexit.register(shutil.rmtree, base, ignore_errors=True)
     sc.setCheckpointDir(base)

@@ -92,12 +92,20 @@ def test_clock_fit_finds_offset_and_drift(spark):
     clock = lambda x: x + 250_000 + 20e-6 * x
     delay = lambda: 500 + rng.exponential(300, len(t))
     fwd, rev = np.column_stack([t, clock(t + delay())]), np.column_stack([t + delay(), clock(t)])
-    model = series.fit_clock(fwd, rev)
+
+    def fit(*sides):
+        rows = [("p", float(x), float(y), way) for way, side in zip((True, False), sides) for x, y in side]
+        found = series.clock_models(spark.createDataFrame(rows, "pair string, ref_us double, other_us double, forward boolean"), "pair").collect()
+        assert len(found) == 1 and found[0].samples == len(rows)
+        return found[0]
+
+    model = fit(fwd, rev)
     assert model["reason"] is None and abs(model["drift"] - 20e-6) < 2e-6
     assert abs(model["offset_us"] - (250_000 + 20e-6 * t.min())) < 100 < 250_000
-    assert series.fit_clock(fwd[:2], rev) is None
-    assert series.fit_clock(np.column_stack([t, t * 1.01]), rev)["reason"] == "drift out of range"
-    assert series.fit_clock(np.column_stack([t, t - 9000]), np.column_stack([t, t + 9000]))["reason"] == "infeasible"
+    few = fit(fwd[:2], rev)
+    assert few["reason"] == "too few samples" and few["offset_us"] is few["drift"] is None
+    assert fit(np.column_stack([t, t * 1.01]), rev)["reason"] == "drift out of range"
+    assert fit(np.column_stack([t, t - 9000]), np.column_stack([t, t + 9000]))["reason"] == "infeasible"
 
 
 def test_onset_folds():

@@ -67,7 +67,13 @@ def test_damaged_and_zero_tails(tmp_path):
         (tmp_path / name).write_bytes(data)
         got = containers.inventory(f"file://{tmp_path}/{name}")
         assert (got["records"], got["damaged_tail"], got["zero_tail"]) == (records, damaged, zeros)
-    assert containers.zero_suffix_start(io.BytesIO(b"ab\0\0"), 4) == 2
+    # Zeros in the middle end nothing, and zeros of the last record count to the tail.
+    hole = raw + b"\0" * 400 + raw[24:]
+    assert containers._next_solid(io.BytesIO(b"\0" * 9000 + b"x\0"), 5, 9002) == 9000
+    (tmp_path / "hole").write_bytes(hole)
+    got = containers.inventory(f"file://{tmp_path}/hole")
+    assert got["records"] >= 2 + 25 and got["zero_tail"] == 0
+    assert containers._next_solid(io.BytesIO(b"ab\0\0"), 2, 4) is None
 
 
 def test_field_dump_and_quarantine(spark, tmp_path):
