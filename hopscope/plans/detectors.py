@@ -60,7 +60,7 @@ def stream_reconnects(ev: DataFrame) -> DataFrame:
     return sessions.reconnects(_kind(ev, "error"), _kind(ev, "signup"), "flow", "t_us", "event_id", DAY)
 
 
-@query("""WITH RECURSIVE s AS (SELECT DISTINCT flow, k * 1000 + event_id % 40 AS key FROM ev WHERE event_id % 5 = 0), e AS (SELECT DISTINCT x.flow AS a, y.flow AS b FROM s x JOIN s y USING (key)),
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT flow, k * 1000 + event_id % 40 AS key FROM ev), e AS (SELECT DISTINCT x.flow AS a, y.flow AS b FROM s x JOIN s y USING (key)),
   r AS (SELECT a AS stream, a AS seen FROM e UNION SELECT r.stream, e.b FROM r JOIN e ON e.a = r.seen) SELECT stream, min(seen) AS session FROM r GROUP BY stream""")
 def linked_sessions(ev: DataFrame) -> DataFrame:
     rows = ev.select(F.col("flow").alias("stream"), (F.col("k") * 1000 + F.col("event_id") % 40).alias("key"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import ranges
 from .registry import portable, query
 
-_RANGES = """rg AS (SELECT flow, point, packet_key, len, seq AS lo, least(seq + len, 4294967296) AS hi FROM obs WHERE direction = 'forward' AND flow < 40
-    UNION ALL SELECT flow, point, packet_key, len, 0, seq + len - 4294967296 FROM obs WHERE direction = 'forward' AND flow < 40 AND seq + len > 4294967296),
+_RANGES = """rg AS (SELECT flow, point, packet_key, len, seq AS lo, least(seq + len, 4294967296) AS hi FROM obs WHERE direction = 'forward'
+    UNION ALL SELECT flow, point, packet_key, len, 0, seq + len - 4294967296 FROM obs WHERE direction = 'forward' AND seq + len > 4294967296),
   ed AS (SELECT flow, lo AS p FROM rg UNION SELECT flow, hi FROM rg), ce AS (SELECT flow, p AS lo, lead(p) OVER (PARTITION BY flow ORDER BY p) AS hi FROM ed),
   at AS (SELECT ce.flow, ce.lo, ce.hi, rg.point, rg.packet_key FROM ce JOIN rg ON rg.flow = ce.flow AND ce.lo >= rg.lo AND ce.hi <= rg.hi WHERE ce.hi IS NOT NULL)""".replace("at AS", "atom AS")
 
@@ -120,7 +120,7 @@ portable("field_changes", """WITH p AS (SELECT a.packet_key, a.direction, a.hop,
   SELECT direction, hop, count(*) AS n, count(*) FILTER (WHERE dscp_a <> dscp_b) AS remarked, count(*) FILTER (WHERE ttl_step <> 1) AS odd_ttl, min(CASE WHEN dscp_a <> dscp_b THEN packet_key END) AS example FROM p GROUP BY direction, hop""")
 
 
-@query("""WITH p AS (SELECT a.packet_key, a.hop, a.ttl AS ta, b.ttl AS tb, a.dscp AS da, b.dscp AS db, a.len AS la, b.len AS lb FROM obs a JOIN obs b ON b.packet_key = a.packet_key AND b.hop = a.hop + 1 WHERE a.flow < 20)
+@query("""WITH p AS (SELECT a.packet_key, a.hop, a.ttl AS ta, b.ttl AS tb, a.dscp AS da, b.dscp AS db, a.len AS la, b.len AS lb FROM obs a JOIN obs b ON b.packet_key = a.packet_key AND b.hop = a.hop + 1)
   SELECT packet_key, hop, field, before, after FROM (SELECT packet_key, hop, 'ttl' AS field, ta AS before, tb AS after FROM p UNION ALL SELECT packet_key, hop, 'dscp', da, db FROM p UNION ALL SELECT packet_key, hop, 'len', la, lb FROM p) WHERE before <> after""")
 def field_diff(obs: DataFrame) -> DataFrame:
     """Field by field, what differs between neighbouring appearances."""
