@@ -22,6 +22,8 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BLOCK = 1 << 16
 #: Posting lists up to this length give pairs; longer ones are split by further positions.
 PAIR_LIST = 64
+#: Positions of the first posting lists: each fingerprint is in 56, short by chance up to some hundred million fingerprints.
+START = 3
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -78,8 +80,7 @@ def links(fps: DataFrame, bits: int = 2, pair_list: int = PAIR_LIST) -> DataFram
 
     ``fps`` has distinct fp. Differing in ``bits`` bits, two fingerprints share at least need = 8 - bits bytes
     at their positions. The inverted index has a posting list for each choice of positions and the bytes there:
-    at first of so few positions that lists are short by chance. Lists longer than ``pair_list`` are split by
-    each further position. Short ones give pairs with their positions; per pair the positions are tallied over all
+    at first of START positions. Lists longer than ``pair_list`` are split by each further position. Short ones give pairs with their positions; per pair the positions are tallied over all
     lists, and pairs that reach ``need`` of them are verified. No pair is lost: of the positions that it shares,
     each is in some list that the pair is in, and a list is only split, never left out.
 
@@ -89,15 +90,13 @@ def links(fps: DataFrame, bits: int = 2, pair_list: int = PAIR_LIST) -> DataFram
     """
     if bits not in (2, 4):
         raise ValueError("bits is 2 or 4")
-    need, n, start = 8 - bits, fps.count(), 1
-    while start < need and n >> 8 * start > pair_list // 32:
-        start += 1
+    need = 8 - bits
     signed = lambda m: m - (m >> 63 << 64)
     masks = {p: signed(sum(255 << 8 * k for k in range(8) if p >> k & 1)) for p in range(256)}
-    first = F.array(*[F.struct(F.lit(p).alias("positions"), F.col("fp").bitwiseAND(F.lit(masks[p])).alias("key")) for p in range(256) if p.bit_count() == start])
+    first = F.array(*[F.struct(F.lit(p).alias("positions"), F.col("fp").bitwiseAND(F.lit(masks[p])).alias("key")) for p in range(256) if p.bit_count() == START])
     lists = fps.select("fp", F.explode(first).alias("p")).select("fp", "p.positions", "p.key")
     met_pairs, stars = [], None
-    for size in range(start, need + 1):
+    for size in range(START, need + 1):
         sized = lists.groupBy("positions", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         met = lists.join(sized, ["positions", "key"]).checkpoint()
         short, long = met.filter(F.col("n") <= pair_list), met.filter(F.col("n") > pair_list)
@@ -112,8 +111,10 @@ def links(fps: DataFrame, bits: int = 2, pair_list: int = PAIR_LIST) -> DataFram
             meeting = long.select("fp", "positions", F.explode(points).alias("mid")).groupBy("positions", "mid").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
             stars = meeting.select(F.array_min("all").alias("src"), F.explode("all").alias("dst")).filter("src != dst")
         elif not long.isEmpty():
-            more = F.explode(F.filter(F.array(*[F.lit(1 << k) for k in range(8)]), lambda x: F.col("positions").bitwiseAND(x) == 0))
-            split = long.select("fp", "positions", more.alias("further")).select("fp", F.col("positions").bitwiseOR(F.col("further")).alias("positions")).distinct()
+            # At most 70 choices of positions go on for a fingerprint, from at most 56.
+            single = F.array(*[F.lit(1 << k) for k in range(8)])
+            wider = F.transform("all", lambda p: F.transform(F.filter(single, lambda x: p.bitwiseAND(x) == 0), lambda x: p.bitwiseOR(x)))
+            split = long.groupBy("fp").agg(F.collect_set("positions").alias("all")).select("fp", F.explode(F.array_distinct(F.flatten(wider))).alias("positions"))
             lists = split.select("fp", "positions", _masked(F.col("fp"), F.col("positions"), masks).alias("key"))
         else:
             break
