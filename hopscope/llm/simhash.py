@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialise
-from .common import LOWER, UPPER, bit_filter, by_bytes, hot_join, small_batches, with_bit
+from .common import LOWER, UPPER, bit_filter, by_bytes, give_back, hot_join, small_batches, with_bit
 from .ppm import word_keys
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -224,6 +224,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             order = np.argsort(number, kind="stable")
             starts = np.searchsorted(number[order], np.arange(len(batch) + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(fps[order]))], ["doc_id", "fps"])
+        give_back()
 
     signed = docs.mapInArrow(parts, f"doc_id {kind}, fps array<bigint>").groupBy("doc_id").agg(F.first("fps").alias("fps"))
     shown = materialise(signed.select("doc_id", F.explode("fps").alias("at")), "parts")
@@ -236,6 +237,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             # 32 bits of each hash, sorted: one pair in thousands of millions agrees by chance.
             out = [np.unique(x >> np.uint64(32)).astype("<u4").tobytes() for x in shingle_sets(batch.column(1).to_pylist(), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+        give_back()
 
     wanted = with_bit(docs.withColumn("h", F.xxhash64("doc_id")), "h", bit_filter(asked, "h", asked.count()))
     wanted = wanted.join(asked.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, shingles binary")
@@ -311,11 +313,11 @@ def _link_long(members: DataFrame, linked: DataFrame, wanted: DataFrame, similar
         pivots = used if pivots is None else pivots.union(used)
         tried = hot_join(apart, best, "at", "_n", apart.count(), "inner").withColumn("_best", F.filter("_best", lambda x: x["component"] != F.col("component")))
         done = done.union(similar(_pivot_pairs(tried, F.col("_best.doc_id")).distinct())).distinct().checkpoint()
-    return done.union(similar(_prefix_pairs(apart.select("doc_id", "component", "size").distinct(), wanted, similarity)))
+    return done.union(similar(_prefix_pairs(apart.groupBy("doc_id", "component", "size").agg(F.collect_set("at").alias("ats")), wanted, similarity)))
 
 
 def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of ``members`` (doc_id, component, size) in two components that share one of their rarest shingles.
+    """(a, b) of ``members`` (doc_id, component, size, ats) in two components that share a meeting and one of their rarest shingles.
 
     Sets of which ``similarity`` of the larger is common share one at least of the rarest that
     exceed the rest of each set; sets without shingles share the shingle -1.
@@ -334,10 +336,11 @@ def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> D
     sets = rows.join(shared, "token").groupBy("doc_id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
     length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
     rare = sets.select("doc_id", "component", "size", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("x")).filter("x.f > 1")
-    rare = materialise(rare.select("doc_id", "component", "size", "x.token"), "rare-shingles")
-    left = rare.withColumnsRenamed({"doc_id": "a", "component": "ca", "size": "na"})
-    right = rare.withColumnsRenamed({"doc_id": "b", "component": "cb", "size": "nb"})
-    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like_sizes("na", "nb", similarity))
+    rare = materialise(rare.select("doc_id", "component", "size", "x.token").join(members.select("doc_id", "ats"), "doc_id"), "rare-shingles")
+    left = rare.withColumnsRenamed({"doc_id": "a", "component": "ca", "size": "na", "ats": "ta"})
+    right = rare.withColumnsRenamed({"doc_id": "b", "component": "cb", "size": "nb", "ats": "tb"})
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like_sizes("na", "nb", similarity)
+    pairs = left.join(right, "token").filter(apart & F.arrays_overlap("ta", "tb"))
     return pairs.select("a", "b").distinct()
 
 
