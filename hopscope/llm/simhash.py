@@ -139,6 +139,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     return hot_join(held, roots, "fp", "copies", held.count()).select("doc_id", "fp", "component_id")
 
 
+#: Counters of shingles (4 MB) by which the prefix pass puts rare ones first, whatever the input.
+COUNTERS = 1 << 20
 #: Of the parts of a text's shingles at one level, those that are posted: which depends on hashes only.
 PARTS = 24
 
@@ -289,7 +291,7 @@ def _link_long(members: DataFrame, linked: DataFrame, wanted: DataFrame, similar
     links so far (an original among its edited copies) and the one with the most outside the meeting's
     first component with all members that are not joined to them. When rounds no longer join a tenth of what is
     apart, all pairs that are still apart are compared whose sets can be alike: those that share one
-    of their rarest shingles (a prefix filter, which loses no pair).
+    of their rarest shingles, at places that leave enough to share (``_prefix_pairs``, which loses no pair).
     """
     done, last = linked, None
     pivots = None
@@ -313,35 +315,78 @@ def _link_long(members: DataFrame, linked: DataFrame, wanted: DataFrame, similar
         pivots = used if pivots is None else pivots.union(used)
         tried = hot_join(apart, best, "at", "_n", apart.count(), "inner").withColumn("_best", F.filter("_best", lambda x: x["component"] != F.col("component")))
         done = done.union(similar(_pivot_pairs(tried, F.col("_best.doc_id")).distinct())).distinct().checkpoint()
-    return done.union(similar(_prefix_pairs(apart.groupBy("doc_id", "component", "size").agg(F.collect_set("at").alias("ats")), wanted, similarity)))
+    return done.union(similar(_prefix_pairs(apart.select("doc_id", "component", "size").distinct(), wanted, similarity)))
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of ``sets`` (one column of packed sets) fall in each of COUNTERS buckets, by their low bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in by_bytes(batches, 0):
+            seen = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") & np.uint32(COUNTERS - 1)
+            np.add.at(total, seen, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    found = sets.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int32)
+    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int32)
+    return out
 
 
 def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of ``members`` (doc_id, component, size, ats) in two components that share a meeting and one of their rarest shingles.
+    """(a, b): all pairs of ``members`` (doc_id, component, size), one row per doc_id, in two components that a prefix and positions can't tell apart.
 
-    Sets of which ``similarity`` of the larger is common share one at least of the rarest that
-    exceed the rest of each set; sets without shingles share the shingle -1.
+    All sets are put in one order, rare shingles first: by a counter that a shingle may share with others, then by itself.
+    Sets of which ``similarity`` of the larger is common share one at least of the first that exceed the rest
+    of each; and no more is common than what follows the first common one in either. So no pair is lost, and
+    texts with many shingles of their own meet none that can't be alike. Members of a component with one size and place
+    of a shingle are one row until pairs are known. Sets without shingles share the shingle -1.
     """
-    kind = wanted.schema["doc_id"].dataType.simpleString()
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 1):
-            out = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) if len(x.as_py()) else np.array([-1]) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "tokens"])
-
-    tokens = wanted.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(unpack, f"doc_id {kind}, tokens array<bigint>")
-    rows = members.join(tokens, "doc_id").select("doc_id", "component", "size", F.explode("tokens").alias("token"))
-    rows = materialise(rows, "meeting-shingles")
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    sets = rows.join(shared, "token").groupBy("doc_id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
-    length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
-    rare = sets.select("doc_id", "component", "size", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("x")).filter("x.f > 1")
-    rare = materialise(rare.select("doc_id", "component", "size", "x.token").join(members.select("doc_id", "ats"), "doc_id"), "rare-shingles")
-    left = rare.withColumnsRenamed({"doc_id": "a", "component": "ca", "size": "na", "ats": "ta"})
-    right = rare.withColumnsRenamed({"doc_id": "b", "component": "cb", "size": "nb", "ats": "tb"})
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like_sizes("na", "nb", similarity)
-    pairs = left.join(right, "token").filter(apart & F.arrays_overlap("ta", "tb"))
-    return pairs.select("a", "b").distinct()
+    sets = wanted.join(members, "doc_id").select("doc_id", "component", "size", "shingles")
+    kinds = [sets.schema[c].dataType.simpleString() for c in ("doc_id", "component")]
+    counts = members.sparkSession.sparkContext.broadcast(_shingle_counts(sets.select("shingles")))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 3):
+            owner, tokens, places = [], [], []
+            for k, x in enumerate(batch.column(3)):
+                x = np.frombuffer(x.as_py(), "<u4")
+                n = counts.value[x & np.uint32(COUNTERS - 1)]
+                first = np.lexsort((x, n))[: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1]
+                at = np.flatnonzero(n[first] > 1)
+                x, at = (x[first[at]].astype(np.int64), at) if len(x) else (np.array([-1]), np.array([0]))
+                owner.append(np.full(len(x), k))
+                tokens.append(x)
+                places.append(at)
+            picked = batch.select([0, 1, 2]).take(pa.array(np.concatenate([np.zeros(0, np.int64), *owner])))
+            more = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64()) for c in (tokens, places)]
+            yield pa.RecordBatch.from_arrays([*picked.columns, *more], ["doc_id", "component", "size", "token", "at"])
+
+    rows = sets.mapInArrow(prefixes, f"doc_id {kinds[0]}, component {kinds[1]}, size long, token long, at long")
+    rows = materialise(rows, "rare-shingles")
+    named = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns if c != "token"})
+
+    def fits(x: str, y: str) -> Column:
+        both = F.least(F.col(f"size_{x}") - F.col(f"at_{x}"), F.col(f"size_{y}") - F.col(f"at_{y}"))
+        needed = (F.col(f"size_{x}") + F.col(f"size_{y}")) * (similarity / (1 + similarity)) - 1e-6
+        return _like_sizes(f"size_{x}", f"size_{y}", similarity) & (both >= needed)
+
+    # Sizes and places of a shingle, few whatever the members: those that fit none of another component go first.
+    places = rows.groupBy("token", "size", "at").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).checkpoint()
+    p, q = named(places, "p"), named(places, "q").withColumnRenamed("token", "token_q")
+    others = (F.col("lo_p") != F.col("hi_p")) | (F.col("lo_q") != F.col("hi_q")) | (F.col("lo_p") != F.col("lo_q"))
+    able = p.join(q, (F.col("token") == F.col("token_q")) & fits("p", "q") & others, "left_semi")
+    able = able.select("token", F.col("size_p").alias("size"), F.col("at_p").alias("at"))
+    key = ["token", "component", "size", "at"]
+    rows = rows.join(able, ["token", "size", "at"], "left_semi").checkpoint()
+    groups = rows.select(*key).distinct().checkpoint()
+    met = named(groups, "x").join(named(groups, "y"), "token").filter((F.col("component_x") < F.col("component_y")) & fits("x", "y"))
+    for x in "xy":
+        met = met.join(named(rows, x), ["token", *[f"{c}_{x}" for c in key[1:]]])
+    pairs = met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
+    return pairs.distinct()
 
 
 def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
