@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in by_bytes(batches, 1):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        give_back()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint"
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
@@ -206,16 +207,32 @@ def part_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate(out)
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_pairs(texts: DataFrame, shingle: int = 5, bits: int = 2) -> DataFrame:
+    """(a, b), a < b: pairs of ``texts`` (doc_id, text) whose components are those of all texts with fingerprints within ``bits`` bits.
+
+    The fingerprints are of whole texts, linked through the inverted index (``links``); texts with one fingerprint are linked to the
+    smallest of them.
+    """
+    held = materialise(fingerprints(texts, shingle).distinct(), "fingerprints")
+    nodes = held.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).checkpoint()
+    found = links(nodes.select("fp"), bits)
+    ends = found.join(nodes.select(F.col("fp").alias("src"), F.col("first").alias("x")), "src").join(nodes.select(F.col("fp").alias("dst"), F.col("first").alias("y")), "dst")
+    shared = nodes.filter("n > 1")
+    same = hot_join(held, shared, "fp", "n", held.count(), "inner").filter("doc_id != first")
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select("first", "doc_id")).distinct()
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """(text_id, component) of the texts that a chain of similar ones joins to another; component is the smallest text_id reachable.
 
     ``texts`` has text_id and text, equal ids with equal texts. Two texts are linked if their sets of word shingles
-    have a Jaccard similarity of ``similarity`` or more. Whole-text fingerprints of such pairs differ in too many bits
-    for byte positions to guarantee, so the positions of the inverted index are parts of the shingles (``part_fingerprints``),
-    and texts that share one position's fingerprint meet. Those are compared on whole sets:
-    all pairs of up to PAIR_LIST texts, and in longer meetings all that other links do not join yet
-    (``_link_long``). So each link is exact, and a pair at 0.8 is missed only if it agrees in none of its parts, 24 or
-    more in texts of over 100 words: under one in ten thousand. Texts without words are alike.
+    have a Jaccard similarity of ``similarity`` or more. Candidates come from SimHash fingerprints of whole texts first: those
+    that the inverted index of their byte positions links at ``bits`` bits (``fingerprint_pairs``). Pairs just over 0.8 differ in
+    more bits than byte positions guarantee, so a second index has parts of the shingles as positions (``part_fingerprints``),
+    and texts that share one position's fingerprint meet. Those not joined yet are compared: all pairs of up to PAIR_LIST texts, and in
+    longer meetings all that other links do not join (``_link_long``). Candidates are compared on whole sets. So each link is exact, and
+    a pair at 0.8 is missed only if its fingerprints are over ``bits`` apart and it agrees in none of its parts, 24 or more in texts of
+    over 100 words: under one in ten thousand. Texts without words are alike.
     """
     docs = small_batches(texts).select(F.col("text_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -232,7 +249,9 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     shown = materialise(signed.select("doc_id", F.explode("fps").alias("at")), "parts")
     sized = shown.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialise(hot_join(shown, sized.checkpoint(), "at", "n", shown.count(), "inner"), "meetings")
-    asked = met.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).checkpoint()
+    near = fingerprint_pairs(docs, shingle, bits).checkpoint()
+    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    asked = met.select("doc_id").union(ends).distinct().withColumn("h", F.xxhash64("doc_id")).checkpoint()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
@@ -254,20 +273,23 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The (a, b) of ``pairs``, a < b and each once, whose whole sets are alike."""
         both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         return both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}").checkpoint()
 
-    few = met.filter(F.col("n") <= PAIR_LIST).join(sizes, "doc_id").select("at", "doc_id", "size")
-    pairs = few.withColumnsRenamed({"doc_id": "a", "size": "na"}).join(few.withColumnsRenamed({"doc_id": "b", "size": "nb"}), "at")
-    pairs = pairs.filter((F.col("a") < F.col("b")) & _like_sizes("na", "nb", similarity)).select("a", "b")
+    edges = similar(near)
+    joined = connected_components(edges, "a", "b").withColumnRenamed("node", "doc_id")
+    few = met.filter(F.col("n") <= PAIR_LIST).join(sizes, "doc_id").join(joined, "doc_id", "left").select("at", "doc_id", "size", F.coalesce("component", "doc_id").alias("c"))
+    pairs = few.withColumnsRenamed({"doc_id": "a", "size": "na", "c": "ca"}).join(few.withColumnsRenamed({"doc_id": "b", "size": "nb", "c": "cb"}), "at")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like_sizes("na", "nb", similarity)).select("a", "b")
     many = met.filter(F.col("n") > PAIR_LIST).checkpoint()
     if not many.isEmpty():
         ends = many.groupBy("at").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"))
         pairs = pairs.union(_pivot_pairs(hot_join(many.select("at", "doc_id"), ends, "at", "n", many.count(), "inner"), F.array("low", "high")))
-    edges = similar(pairs.distinct())
+    edges = edges.union(similar(pairs.distinct())).distinct().checkpoint()
     if not many.isEmpty():
         edges = _link_long(many.select("at", "doc_id", "n").join(sizes, "doc_id").checkpoint(), edges, wanted, similar, similarity)
     return connected_components(edges, "a", "b").withColumnRenamed("node", "text_id")
@@ -363,6 +385,7 @@ def _prefix_pairs(members: DataFrame, wanted: DataFrame, similarity: float) -> D
             picked = batch.select([0, 1, 2]).take(pa.array(np.concatenate([np.zeros(0, np.int64), *owner])))
             more = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64()) for c in (tokens, places)]
             yield pa.RecordBatch.from_arrays([*picked.columns, *more], ["doc_id", "component", "size", "token", "at"])
+        give_back()
 
     rows = sets.mapInArrow(prefixes, f"doc_id {kinds[0]}, component {kinds[1]}, size long, token long, at long")
     rows = materialise(rows, "rare-shingles")

@@ -130,3 +130,21 @@ def test_long_meetings_lose_no_pair(spark):
     edges = simhash._link_long(members, none, wanted, similar, 0.8)
     found = {r.node: r.component for r in simhash.connected_components(edges, "a", "b").collect() if r.node != r.component}
     assert found == brute(rows, 0.8)
+
+
+def test_fingerprints_of_whole_texts_are_linked_through_the_index(spark, monkeypatch):
+    """The pipeline's stage asks the inverted index for links of whole texts, and no other pairs are joined than alike ones."""
+    import corpus_pipeline
+
+    linked, inner = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *a: linked.append({r.fp for r in fps.collect()}) or inner(fps, *a))
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, " ".join(base[:1500])), (4, " ".join(base[::-1])), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {1, 3, 4, 5}
+    values = {v - (v >> 63 << 64) for v in (simhash.fingerprint(t, 5) for _, t in rows)}
+    assert linked == [values]
+    found = simhash.fingerprint_pairs(docs)
+    assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
