@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from .common import LOWER, UPPER, by_bytes, small_batches
+from .common import LOWER, UPPER, by_bytes, give_back, small_batches
 
 #: Bytes of words: digits, lower-case letters and all of 0x80 and above; A-Z are lowered, the rest separates.
 _WORDS = bytes(
@@ -325,5 +325,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
             found = search_shard(texts, blocks)
             new = [clean(t, blocks) if h.any() else t for t, (_, h, _) in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([pa.array(new, shard.schema.field(at).type) if k == at else c for k, c in enumerate(shard.columns)], schema=shard.schema)
+            del texts, found, new
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
