@@ -142,6 +142,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
 
 #: Counters of shingles (4 MB) by which the prefix pass puts rare ones first, whatever the input.
 COUNTERS = 1 << 20
+#: Parts of the counters that are summed apart from each other.
+COUNTER_BLOCKS = 64
 #: Of the parts of a text's shingles at one level, those that are posted: which depends on hashes only.
 PARTS = 24
 
@@ -341,19 +343,40 @@ def _link_long(members: DataFrame, linked: DataFrame, wanted: DataFrame, similar
 
 
 def _shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of ``sets`` (one column of packed sets) fall in each of COUNTERS buckets, by their low bits."""
+    """How often the shingles of ``sets`` (one column of packed sets) fall in each of COUNTERS buckets, by their low bits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sums all its sets and gives its buckets packed, in COUNTER_BLOCKS rows at most; the rows of a block are summed in one
+    task. The driver gets packed buckets as well, of those that hold more than one shingle; the others count as 1.
+    """
+
+    def packed(total: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(total >= least)
+        ends = np.searchsorted(at, np.arange(1, COUNTER_BLOCKS + 1) * (COUNTERS // COUNTER_BLOCKS))
+        for k, own in enumerate(np.split(at, ends[:-1])):
+            if len(own):
+                columns = [pa.array([k], pa.int32()), pa.array([own.astype("<u4").tobytes()]), pa.array([total[own].astype("<i8").tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "buckets", "ns"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in by_bytes(batches, 0):
-            seen = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") & np.uint32(COUNTERS - 1)
-            np.add.at(total, seen, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    found = sets.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int32)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int32)
+            np.add.at(total, np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") & np.uint32(COUNTERS - 1), 1)
+        yield from packed(total, 1)
+        give_back()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for buckets, ns in zip(batch.column(1), batch.column(2)):
+                total[np.frombuffer(buckets.as_py(), "<u4")] += np.frombuffer(ns.as_py(), "<i8")
+        yield from packed(total, 2)
+        give_back()
+
+    schema = "block int, buckets binary, ns binary"
+    found = sets.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    out = np.ones(COUNTERS, np.int32)
+    for buckets, ns in zip(found["buckets"], found["ns"]):
+        out[np.frombuffer(buckets.as_py(), "<u4")] = np.minimum(np.frombuffer(ns.as_py(), "<i8"), (1 << 31) - 1)
     return out
 
 

@@ -35,3 +35,29 @@ def test_no_pair_of_two_components_is_lost(spark):
     components = {i: rng.choice([i, i // 30 * 30]) for i in sets}
     want = {(a, b) for a in sets for b in sets if a < b and components[a] != components[b] and alike(sets[a], sets[b])}
     assert len(want) > 20 and want <= pairs_of(spark, sets, components)
+
+
+def test_counters_meet_in_few_rows(spark, monkeypatch):
+    """A task's counters go on in one row a block, and the driver holds no row of Python's for a counter."""
+    rng = np.random.default_rng(6)
+    common = rng.choice(1 << 32, 3000, replace=False).astype("<u4")
+    sets = [np.unique(np.concatenate([common, rng.choice(1 << 32, 200).astype("<u4")])) for _ in range(40)] + [np.zeros(0, "<u4")]
+    packed = spark.createDataFrame([(s.tobytes(),) for s in sets], "shingles binary").repartition(8)
+    rows, frame, inner = [], type(packed), type(packed).mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a: rows.append(inner(self, f, *a)) or rows[-1])
+    monkeypatch.setattr(frame, "toPandas", None)
+    monkeypatch.setattr(frame, "collect", None)
+    got = simhash._shingle_counts(packed)
+    assert rows[0].count() <= 8 * simhash.COUNTER_BLOCKS
+    want = np.bincount(np.concatenate(sets) & np.uint32(simhash.COUNTERS - 1), minlength=simhash.COUNTERS)
+    assert got[common & np.uint32(simhash.COUNTERS - 1)].min() >= 40
+    assert (got == np.maximum(want, 1)).all()
+
+
+def test_filters_reach_the_driver_packed(spark, monkeypatch):
+    keys = spark.range(5000).selectExpr("xxhash64(id) h")
+    want = {r.h % (1 << 17) for r in keys.collect()}
+    monkeypatch.setattr(type(keys), "toPandas", None)
+    monkeypatch.setattr(type(keys), "collect", None)
+    bits, table = simhash.bit_filter(keys, "h", 5000)
+    assert bits == 1 << 17 and set(np.flatnonzero(np.unpackbits(table.view(np.uint8), bitorder="little"))) == want
